@@ -27,30 +27,43 @@ def doc_terms(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFram
     return grams.groupBy(*keep, key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, key: str, text: str, strata: list[str],
-          max_df: float | None = None, mult: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Returns (weights, stats).
-
-    weights: strata + key + term + tf + df + idf + w (L2-normalised, kept terms only)
-    stats:   strata + n_docs + kept_terms (a stratum with kept_terms = 0 is a
-             vectoriser failure: empty vocabulary after pruning, or n = 1)
-    """
+def term_table(docs: DataFrame, key: str, text: str, strata: list[str],
+               max_df: float | None = None, mult: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tf, terms): tf = strata + key + term + tf + _m;
+    terms = strata + term + df + n_docs + idf + kept (df <= max_df * n)."""
     m = F.col(mult) if mult else F.lit(1)
     base = docs.select(*strata, key, text, m.cast("long").alias("_m"))
-    tf = doc_terms(base, key, text, strata + ["_m"]) if mult else \
-        doc_terms(base, key, text, strata).withColumn("_m", F.lit(1).cast("long"))
+    tf = doc_terms(base, key, text, strata + ["_m"])
     n_docs = base.groupBy(*strata).agg(F.sum("_m").alias("n_docs"))
     dfc = tf.groupBy(*strata, "term").agg(F.sum("_m").alias("df"))
     if strata:
         terms = dfc.join(n_docs, strata)
-    else:
-        terms = dfc.crossJoin(F.broadcast(n_docs))  # one-row side
+    else:   # one stratum: n_docs is a single scalar row
+        n_total = n_docs.first()["n_docs"] or 0
+        terms = dfc.withColumn("n_docs", F.lit(n_total).cast("long"))
     n = F.col("n_docs").cast("double")
     terms = terms.withColumn("idf", F.log((n + 1.0) / (F.col("df").cast("double") + 1.0)) + 1.0)
-    if max_df is not None:
-        terms = terms.filter(F.col("df") <= F.lit(float(max_df)) * n)
+    kept = F.lit(True) if max_df is None else (F.col("df") <= F.lit(float(max_df)) * n)
+    return tf, terms.withColumn("kept", kept)
+
+
+def tfidf(docs: DataFrame, key: str, text: str, strata: list[str],
+          max_df: float | None = None, mult: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Returns (weights, stats).
+
+    weights: strata + key + term + tf + df + idf + w (L2-normalised, kept terms only)
+    stats:   strata + n_docs + kept_terms (a stratum with kept_terms = 0 is a
+             vectoriser failure: empty vocabulary after pruning, or n = 1)
+    """
+    tf, terms = term_table(docs, key, text, strata, max_df, mult)
+    terms = terms.filter(F.col("kept"))
+    n_docs = docs.select(*strata, (F.col(mult) if mult else F.lit(1)).cast("long").alias("_m")) \
+                 .groupBy(*strata).agg(F.sum("_m").alias("n_docs"))
     kept = terms.groupBy(*strata).agg(F.count("*").alias("kept_terms"))
-    stats = n_docs.join(kept, strata, "left") if strata else n_docs.crossJoin(kept)
+    if strata:
+        stats = n_docs.join(kept, strata, "left")
+    else:   # single stratum (no pruning in that use): report the doc count only
+        stats = n_docs.withColumn("kept_terms", F.lit(None).cast("long"))
     stats = stats.withColumn("kept_terms", F.coalesce("kept_terms", F.lit(0)))
     raw = tf.join(terms.select(*strata, "term", "df", "idf"), strata + ["term"]) \
             .withColumn("raw", F.col("tf").cast("double") * F.col("idf"))

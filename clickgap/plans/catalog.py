@@ -48,7 +48,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score.score_queries(q)
 
 
-W = O.with_ctes
+def W(ctes: str, body: str) -> str:
+    return O.with_ctes(ctes, body)
 
 
 # ---------------------------------------------------------------------------
@@ -210,3 +211,388 @@ def url_tokens(spark, sf):
     pages = X.table(spark, sf, "pages").select("page_id", "url")
     return pages.select("page_id", toks(F.col("url")).alias("page_tokens")) \
                 .withColumn("page_text", F.array_join("page_tokens", " "))
+
+
+# ---------------------------------------------------------------------------
+# 3. TF-IDF, similarity pairs, components, clusters
+# ---------------------------------------------------------------------------
+
+def _texts(spark, sf):
+    from clickgap.operators import cluster
+    return cluster.text_table(enriched(spark, sf).select("segment", "row_id", "query_norm"))
+
+
+@register("tfidf_segment", W(O.TFIDF_CTES, """
+SELECT segment, query_norm, term, tf, df, round(w, 6) AS w FROM tw"""))
+def tfidf_segment(spark, sf):
+    from clickgap.operators import cluster
+    texts = _texts(spark, sf)
+    w, _ = cluster.segment_vectors(texts)
+    return (w.join(texts.select("segment", "rep", "query_norm"), ["segment", "rep"])
+             .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w")))
+
+
+@register("tfidf_doc_freq", W(O.TFIDF_CTES, """
+SELECT segment, term, df, n_docs, round(idf, 6) AS idf, kept FROM tterms"""))
+def tfidf_doc_freq(spark, sf):
+    from clickgap.operators import cluster
+    from clickgap.operators.tfidf import term_table
+    _, terms = term_table(_texts(spark, sf), "rep", "query_norm", ["segment"], cluster.MAX_DF, "mult")
+    return terms.select("segment", "term", "df", "n_docs", r6("idf").alias("idf"), "kept")
+
+
+@register("query_similarity_pairs", W(O.TFIDF_CTES + O.PAIRS_CTES, """
+SELECT segment, a, b, round(sim, 6) AS sim FROM pairs"""))
+def query_similarity_pairs(spark, sf):
+    from clickgap.operators import cluster
+    w, _ = cluster.segment_vectors(_texts(spark, sf))
+    return cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold).select(
+        "segment", "a", "b", r6("sim").alias("sim"))
+
+
+@register("similarity_components", W(O.TFIDF_CTES + O.PAIRS_CTES + O.COMPONENT_CTES, """
+SELECT rep, component FROM comp"""))
+def similarity_components(spark, sf):
+    from clickgap.operators import cluster
+    from clickgap.operators.components import connected_components
+    w, _ = cluster.segment_vectors(_texts(spark, sf))
+    edges = cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold)
+    comp = connected_components(edges, "a", "b")
+    nodes = w.select("rep").distinct()
+    return (nodes.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+                 .select("rep", F.coalesce("component", "rep").alias("component")))
+
+
+@register("segment_clusters")
+def segment_clusters(spark, sf):
+    """Exact stratified average linkage (no SQL form; brute-force tested)."""
+    from clickgap.operators import cluster
+    return cluster.cluster_queries(enriched(spark, sf), X.FIXTURE_CONFIG).select(
+        "row_id", "segment", "cluster_id")
+
+
+@register("kmeans_clusters")
+def kmeans_clusters(spark, sf):
+    """k-means path forced on every segment (the > 10,000-row branch)."""
+    from dataclasses import replace
+
+    from clickgap.operators import cluster
+    cfg = replace(X.FIXTURE_CONFIG, method="kmeans")
+    return cluster.cluster_queries(enriched(spark, sf), cfg).select("row_id", "segment", "cluster_id")
+
+
+@register("embedding_clusters")
+def embedding_clusters(spark, sf):
+    """Semantic path on the embeddings table, label as the segment."""
+    from clickgap.operators import cluster
+    emb = X.table(spark, sf, "embeddings")
+    return cluster.cluster_embeddings(emb, "label", "vec_id", "embedding", X.FIXTURE_CONFIG) \
+                  .join(emb.select("vec_id", "label"), "vec_id")
+
+
+# ---------------------------------------------------------------------------
+# 4. labels, merge, cluster table (on a surrogate cluster id SQL can state:
+#    min row_id per segment and last word; the operators are the library's)
+# ---------------------------------------------------------------------------
+
+def surrogate(spark, sf) -> DataFrame:
+    """Enriched + scored queries with the surrogate cluster id and labels."""
+    from clickgap.operators import label
+    q = X.surrogate_clusters(enriched(spark, sf))
+    q = label.label_clusters(q)
+    return score.priority_bands(score.opportunity(q).persist())
+
+
+def surrogate_clusters_table(spark, sf):
+    from clickgap.operators import aggregate
+    q = surrogate(spark, sf).persist()
+    return q, aggregate.aggregate_clusters(q)
+
+
+def surrogate_mapped(spark, sf):
+    from clickgap.operators import pages
+    q, cl = surrogate_clusters_table(spark, sf)
+    p = enrich.preprocess_pages(X.search_pages(spark, sf)).persist()
+    qf, cf = pages.map_clusters_to_pages(q, cl, p)
+    return qf.persist(), cf.persist(), p
+
+
+@register("topic_labels", W(O.LABEL_CTES, """
+SELECT cluster_id, topic_label FROM topics"""))
+def topic_labels(spark, sf):
+    from clickgap.operators import label
+    q = X.surrogate_clusters(enriched(spark, sf))
+    return label.topic_labels(q.select("cluster_id", "row_id", "query_norm"))
+
+
+@register("plural_merge", W(O.LABEL_CTES + O.MERGE_CTES, """
+SELECT row_id, cluster_id FROM merged"""))
+def plural_merge(spark, sf):
+    from clickgap.operators import label
+    q = label.label_clusters(X.surrogate_clusters(enriched(spark, sf)))
+    return label.merge_plural_clusters(q).select("row_id", "cluster_id")
+
+
+@register("cluster_metrics", W(O.CLUSTER_CTES, """
+SELECT cluster_id, topic_label, segment, brand_label, intent, queries, clicks, impressions,
+       round(avg_position, 6) AS avg_position, round(opportunity_clicks, 6) AS opportunity_clicks,
+       round(priority_score, 6) AS priority_score FROM cm"""))
+def cluster_metrics(spark, sf):
+    from clickgap.operators import aggregate
+    m = aggregate.cluster_metrics(surrogate(spark, sf))
+    return m.select(*aggregate.CLUSTER_KEYS, "queries", "clicks", "impressions",
+                    r6("avg_position").alias("avg_position"), r6("opportunity_clicks").alias("opportunity_clicks"),
+                    r6("priority_score").alias("priority_score"))
+
+
+@register("cluster_band", W(O.CLUSTER_CTES, """
+SELECT cluster_id, topic_label, priority_band, dominant_intent FROM ct"""))
+def cluster_band(spark, sf):
+    _, cl = surrogate_clusters_table(spark, sf)
+    return cl.select("cluster_id", "topic_label", "priority_band", "dominant_intent")
+
+
+@register("top5_queries_per_cluster", W(O.CLUSTER_CTES, """
+SELECT cluster_id, row_id, rn AS rank FROM ranked5 WHERE rn <= 5"""))
+def top5_queries_per_cluster(spark, sf):
+    from pyspark.sql.window import Window
+    q = surrogate(spark, sf)
+    w = Window.partitionBy("cluster_id").orderBy(F.col("impressions").desc(), F.col("row_id").asc())
+    return q.select("cluster_id", "row_id", F.row_number().over(w).cast("long").alias("rank")) \
+            .filter(F.col("rank") <= 5)
+
+
+@register("example_queries", W(O.CLUSTER_CTES, """
+SELECT cluster_id, example_queries FROM ex"""))
+def example_queries(spark, sf):
+    from clickgap.operators import aggregate
+    return aggregate.top_queries(surrogate(spark, sf), "query", " | ", "example_queries")
+
+
+# ---------------------------------------------------------------------------
+# 5. page match, actions, page tables
+# ---------------------------------------------------------------------------
+
+@register("cluster_page_match", W(O.MATCH_CTES, """
+SELECT cluster_id, topic_label, segment, primary_page, round(match_score, 6) AS match_score,
+       runner_up_page, round(runner_up_score, 6) AS runner_up_score FROM cf"""))
+def cluster_page_match(spark, sf):
+    _, cf, _ = surrogate_mapped(spark, sf)
+    return cf.select("cluster_id", "topic_label", "segment", "primary_page", r6("match_score").alias("match_score"),
+                     "runner_up_page", r6("runner_up_score").alias("runner_up_score"))
+
+
+@register("cannibalisation_flag", W(O.MATCH_CTES, """
+SELECT cluster_id, topic_label, cannibalisation_risk FROM cf"""))
+def cannibalisation_flag(spark, sf):
+    _, cf, _ = surrogate_mapped(spark, sf)
+    return cf.select("cluster_id", "topic_label", "cannibalisation_risk")
+
+
+@register("recommended_action", W(O.MATCH_CTES, """
+SELECT cluster_id, topic_label, recommended_action FROM cf"""))
+def recommended_action(spark, sf):
+    _, cf, _ = surrogate_mapped(spark, sf)
+    return cf.select("cluster_id", "topic_label", "recommended_action")
+
+
+@register("page_totals", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT page, clusters, impressions, actual_clicks, round(opportunity_clicks, 6) AS opportunity_clicks,
+       round(avg_position, 6) AS avg_position, slug, page_impressions, page_clicks,
+       round(page_ctr, 6) AS page_ctr, round(page_position, 6) AS page_position, round(ctr, 6) AS ctr
+FROM pall"""))
+def page_totals(spark, sf):
+    from clickgap.operators import pages
+    _, cf, p = surrogate_mapped(spark, sf)
+    t = pages.page_opportunity_all(cf, p)
+    return t.select("page", "clusters", "impressions", "actual_clicks", r6("opportunity_clicks").alias("opportunity_clicks"),
+                    r6("avg_position").alias("avg_position"), "slug", "page_impressions", "page_clicks",
+                    r6("page_ctr").alias("page_ctr"), r6("page_position").alias("page_position"), r6("ctr").alias("ctr"))
+
+
+@register("page_segment_totals", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT page, segment, brand_label, intent, impressions, actual_clicks,
+       round(opportunity_clicks, 6) AS opportunity_clicks, round(avg_position, 6) AS avg_position,
+       round(ctr, 6) AS ctr, slug, page_clicks, page_impressions, round(page_ctr, 6) AS page_ctr,
+       round(page_position, 6) AS page_position
+FROM pseg"""))
+def page_segment_totals(spark, sf):
+    from clickgap.operators import pages
+    qf, _, p = surrogate_mapped(spark, sf)
+    t = pages.page_opportunity_segment(qf, p)
+    return t.select("page", "segment", "brand_label", "intent", "impressions", "actual_clicks",
+                    r6("opportunity_clicks").alias("opportunity_clicks"), r6("avg_position").alias("avg_position"),
+                    r6("ctr").alias("ctr"), "slug", "page_clicks", "page_impressions",
+                    r6("page_ctr").alias("page_ctr"), r6("page_position").alias("page_position"))
+
+
+# ---------------------------------------------------------------------------
+# 6. risk, effort, keyword views, reports
+# ---------------------------------------------------------------------------
+
+_RISK_OUT = ["primary_cluster_id", "primary_topic", "primary_intent", "competing_cluster_id",
+             "competing_topic", "competing_intent", "shared_page"]
+
+
+def _risk_select(df):
+    return df.select(*_RISK_OUT, r6("primary_match_score").alias("primary_match_score"),
+                     r6("runner_up_match_score").alias("runner_up_match_score"),
+                     r6("score_difference").alias("score_difference"), "risk_level")
+
+
+@register("risk_pairs_same_page", W(O.MATCH_CTES + O.RISK_CTES, """
+SELECT * FROM risk_same"""))
+def risk_pairs_same_page(spark, sf):
+    from clickgap.operators import risk
+    _, cf, _ = surrogate_mapped(spark, sf)
+    same, _ = risk.risk_pairs(cf)
+    return _risk_select(same)
+
+
+@register("risk_pairs_runner_up", W(O.MATCH_CTES + O.RISK_CTES, """
+SELECT * FROM risk_runner"""))
+def risk_pairs_runner_up(spark, sf):
+    from clickgap.operators import risk
+    _, cf, _ = surrogate_mapped(spark, sf)
+    _, runner = risk.risk_pairs(cf)
+    return _risk_select(runner)
+
+
+@register("risk_summary", W(O.MATCH_CTES + O.RISK_CTES, """
+SELECT count(*) AS total_risks, count_if(risk_level = 'High') AS high_risks,
+       count_if(risk_level = 'Medium') AS medium_risks
+FROM (SELECT * FROM risk_same UNION ALL SELECT * FROM risk_runner)"""))
+def risk_summary(spark, sf):
+    from clickgap.operators import risk
+    _, cf, _ = surrogate_mapped(spark, sf)
+    return risk.risk_summary(risk.analyze_risks(cf))
+
+
+@register("effort_ranking", W(O.MATCH_CTES + O.EFFORT_CTES, """
+SELECT cluster_id, topic_label, effort_level, effort_label, recommended_action,
+       round(opportunity_clicks, 6) AS opportunity_clicks FROM effort"""))
+def effort_ranking(spark, sf):
+    from clickgap.operators import report
+    _, cf, _ = surrogate_mapped(spark, sf)
+    e = report.effort_table(cf)
+    return e.select("cluster_id", "topic_label", "effort_level", "effort_label", "recommended_action",
+                    r6("opportunity_clicks").alias("opportunity_clicks"))
+
+
+@register("effort_counts", W(O.MATCH_CTES + O.EFFORT_CTES, """
+SELECT effort_level, effort_label, count(*) AS clusters FROM effort GROUP BY effort_level, effort_label"""))
+def effort_counts(spark, sf):
+    from clickgap.operators import report
+    _, cf, _ = surrogate_mapped(spark, sf)
+    return report.effort_counts(report.effort_table(cf))
+
+
+@register("keyword_table", W(O.MATCH_CTES + O.KEYWORD_CTES, """
+SELECT query, cluster_id, topic_label, segment, intent, brand_label, has_competitor, has_local,
+       has_product_brand, has_product_name, clicks, impressions, round(ctr, 6) AS ctr,
+       round(position, 6) AS position, round(opportunity_clicks, 6) AS opportunity_clicks,
+       round(priority_score, 6) AS priority_score, priority_band, primary_page FROM kw"""))
+def keyword_table(spark, sf):
+    from clickgap.operators import report
+    qf, cf, _ = surrogate_mapped(spark, sf)
+    kw = report.keyword_table(qf, cf)
+    return kw.withColumns({c: r6(c) for c in ("ctr", "position", "opportunity_clicks", "priority_score")})
+
+
+@register("keyword_filtered", W(O.MATCH_CTES + O.KEYWORD_CTES, """
+SELECT query, cluster_id, round(opportunity_clicks, 6) AS opportunity_clicks FROM kw
+WHERE brand_label IN ('Non-Branded') AND intent IN ('transactional', 'commercial')"""))
+def keyword_filtered(spark, sf):
+    from clickgap.operators import report
+    qf, cf, _ = surrogate_mapped(spark, sf)
+    kw = report.filter_in(report.filter_in(report.keyword_table(qf, cf), "brand_label", ["Non-Branded"]),
+                          "intent", ["transactional", "commercial"])
+    return report.sort_keywords(kw).select("query", "cluster_id", r6("opportunity_clicks").alias("opportunity_clicks"))
+
+
+@register("option_lists", W(O.MATCH_CTES + O.KEYWORD_CTES, """
+SELECT DISTINCT option, value FROM (
+  SELECT 'brand' AS option, brand_label AS value FROM kw
+  UNION ALL SELECT 'topic', topic_label FROM kw WHERE brand_label IN ('Non-Branded')
+  UNION ALL SELECT 'intent', intent FROM kw WHERE brand_label IN ('Non-Branded')
+) WHERE value IS NOT NULL"""))
+def option_lists(spark, sf):
+    from clickgap.operators import report
+    qf, cf, _ = surrogate_mapped(spark, sf)
+    return report.option_lists(report.keyword_table(qf, cf), brands=["Non-Branded"])
+
+
+@register("intent_opportunity_totals", W(O.MATCH_CTES, """
+SELECT 'All' AS brand_filter, intent, round(sum(opportunity_clicks), 6) AS opportunity_clicks FROM cf GROUP BY intent
+UNION ALL
+SELECT 'Non-Branded', intent, round(sum(opportunity_clicks), 6) FROM cf WHERE brand_label = 'Non-Branded' GROUP BY intent"""))
+def intent_opportunity_totals(spark, sf):
+    from clickgap.operators import report
+    _, cf, _ = surrogate_mapped(spark, sf)
+    parts = [report.intent_opportunity(cf, b).select(F.lit(b).alias("brand_filter"), "intent",
+                                                      r6("opportunity_clicks").alias("opportunity_clicks"))
+             for b in ("All", "Non-Branded")]
+    return parts[0].unionByName(parts[1])
+
+
+@register("top15_clusters", W(O.MATCH_CTES, """
+SELECT cluster_id, topic_label, priority_band, round(opportunity_clicks, 6) AS opportunity_clicks,
+       round(total_potential, 6) AS total_potential, round(size_ref, 6) AS size_ref
+FROM (SELECT *, 2.0 * max(total_potential) OVER () / CAST(6400 AS DOUBLE) AS size_ref FROM (
+  SELECT *, clicks + opportunity_clicks AS total_potential FROM cf
+  ORDER BY opportunity_clicks DESC, cluster_id, topic_label, segment LIMIT 15))"""))
+def top15_clusters(spark, sf):
+    from clickgap.operators import report
+    _, cf, _ = surrogate_mapped(spark, sf)
+    t = report.top_clusters(cf)
+    return t.select("cluster_id", "topic_label", "priority_band", r6("opportunity_clicks").alias("opportunity_clicks"),
+                    r6("total_potential").alias("total_potential"), r6("size_ref").alias("size_ref"))
+
+
+@register("top20_pages", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT slug, round(opportunity_clicks, 6) AS opportunity_clicks, round(avg_position, 6) AS avg_position
+FROM pall ORDER BY opportunity_clicks DESC, page LIMIT 20"""))
+def top20_pages(spark, sf):
+    from clickgap.operators import pages, report
+    _, cf, p = surrogate_mapped(spark, sf)
+    t = report.top_pages(pages.page_opportunity_all(cf, p))
+    return t.select("slug", r6("opportunity_clicks").alias("opportunity_clicks"), r6("avg_position").alias("avg_position"))
+
+
+@register("leaderboard", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT slug, actual_clicks, round(opportunity_clicks, 6) AS opportunity_clicks
+FROM pall ORDER BY opportunity_clicks DESC, page LIMIT 20"""))
+def leaderboard(spark, sf):
+    from clickgap.operators import pages, report
+    _, cf, p = surrogate_mapped(spark, sf)
+    t = report.top_pages(pages.page_opportunity_all(cf, p), 20)
+    return t.select("slug", "actual_clicks", r6("opportunity_clicks").alias("opportunity_clicks"))
+
+
+@register("brief_json")
+def brief_json(spark, sf):
+    """JSON brief (has a generation timestamp, so rows-only)."""
+    from clickgap.operators import pages, report
+    _, cf, p = surrogate_mapped(spark, sf)
+    cfg = X.FIXTURE_CONFIG
+    return report.brief_json(cf, pages.page_opportunity_all(cf, p), cfg.client_name, list(cfg.brand_terms))
+
+
+@register("brief_markdown")
+def brief_markdown(spark, sf):
+    from clickgap.operators import pages, report
+    _, cf, p = surrogate_mapped(spark, sf)
+    return report.brief_markdown(pages.page_opportunity_all(cf, p), X.FIXTURE_CONFIG.client_name)
+
+
+@register("pipeline_clusters")
+def pipeline_clusters(spark, sf):
+    """Full run (real clustering, labels, plural merge, page match)."""
+    from dataclasses import replace
+
+    from clickgap.plans.pipeline import run
+    out = run(X.search_queries(spark, sf), X.search_pages(spark, sf),
+              replace(X.FIXTURE_CONFIG, merge_plurals=True))
+    return out["cluster"].select("cluster_id", "topic_label", "segment", "queries", "clicks", "impressions",
+                                 r6("opportunity_clicks").alias("opportunity_clicks"), "priority_band",
+                                 "primary_page", r6("match_score").alias("match_score"), "recommended_action")

@@ -1,0 +1,45 @@
+"""End-to-end run (M13): preprocess -> cluster -> label -> (merge) ->
+score -> aggregate -> match pages -> page tables.
+
+All stages are lazy DataFrames except the few scalar jobs (quantiles,
+component rounds). The clustered query table is checkpointed to the
+session's checkpoint directory: it ends the iterative part, so later
+stages never recompute it after an executor loss.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from clickgap.config import Config
+from clickgap.operators import aggregate, cluster, enrich, label, pages, score
+from clickgap.session import checkpoint_dir
+
+
+def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, DataFrame]:
+    """queries: query, clicks, impressions, ctr_raw, position, row_id (+ extra)
+    page_rows: page, page_clicks, page_impressions, page_ctr_raw, page_position, page_ord
+    Returns q, cluster, page_all, page_segment, pages."""
+    q = enrich.preprocess_queries(queries, cfg)
+    if cfg.exclusion_terms and q.isEmpty():
+        raise ValueError("All queries were filtered out by exclusion terms. "
+                         "Please adjust your exclusion terms.")
+    p = enrich.preprocess_pages(page_rows).persist()
+    q = cluster.cluster_queries(q.persist(), cfg)
+    checkpoint_dir(q.sparkSession)
+    q = q.checkpoint()
+    q = label.label_clusters(q)
+    if cfg.merge_plurals:
+        q = label.merge_plural_clusters(q)
+    q = score.priority_bands(score.opportunity(q).persist()).persist()
+    cl = aggregate.aggregate_clusters(q)
+    q_final, cl_final = pages.map_clusters_to_pages(q, cl, p)
+    cl_final = cl_final.persist()
+    q_final = q_final.persist()
+    return {
+        "q": q_final,
+        "cluster": cl_final,
+        "page_all": pages.page_opportunity_all(cl_final, p),
+        "page_segment": pages.page_opportunity_segment(q_final, p),
+        "pages": p,
+    }

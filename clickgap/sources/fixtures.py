@@ -100,3 +100,13 @@ def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("doc_id") + F.col("line_no")) % 30 + 1).cast("double").alias("position"),
         (F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"),
     )
+
+
+def surrogate_clusters(q: DataFrame) -> DataFrame:
+    """Stand-in cluster ids SQL can state: the smallest row_id per
+    (segment, last word of query_norm). Used to test the operators that
+    follow clustering against SQL oracles."""
+    last = F.element_at(F.split(F.col("query_norm"), " "), -1)
+    keyed = q.withColumn("_lw", last)
+    ids = keyed.groupBy("segment", "_lw").agg(F.min("row_id").alias("cluster_id"))
+    return keyed.join(ids, ["segment", "_lw"]).drop("_lw")
