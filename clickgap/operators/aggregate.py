@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from clickgap.config import TOP_QUERIES_PER_CLUSTER
 from clickgap.operators import score
+from clickgap.session import materialize
 
 CLUSTER_KEYS = ["cluster_id", "topic_label", "segment", "brand_label", "intent"]
 
@@ -49,8 +50,8 @@ def cluster_metrics(q: DataFrame) -> DataFrame:
 
 def aggregate_clusters(q: DataFrame) -> DataFrame:
     """Cluster table with example_queries, priority_band, dominant_intent."""
-    cl = cluster_metrics(q).join(top_queries(q, "query", " | ", "example_queries"),
-                                 "cluster_id", "left").persist()
+    cl = materialize(cluster_metrics(q).join(top_queries(q, "query", " | ", "example_queries"),
+                                             "cluster_id", "left"))
     q70, q90 = score.score_quantiles(cl, "priority_score")
     return (cl.withColumn("priority_band", score.band(F.col("priority_score"), q70, q90))
               .withColumn("dominant_intent", F.col("intent")))

@@ -22,6 +22,7 @@ from clickgap.config import (ACTION_CONTENT_REFRESH, ACTION_CTR_SNIPPET, ACTION_
 from clickgap.operators.aggregate import CLUSTER_KEYS, top_queries
 from clickgap.operators.similarity import dot_products
 from clickgap.operators.tfidf import tfidf
+from clickgap.session import materialize
 
 
 def cluster_text(cluster: DataFrame, q: DataFrame) -> DataFrame:
@@ -42,7 +43,7 @@ def match_scores(cl: DataFrame, pages: DataFrame) -> DataFrame:
                                         F.col("page_text").alias("text"))))
     docs = docs.withColumn("doc", F.concat_ws(":", "side", "doc"))
     w, _ = tfidf(docs, "doc", "text", [], max_df=None)
-    w = w.persist()
+    w = materialize(w)
     cw = w.filter(F.col("doc").startswith("c:")).select(F.expr("substring(doc, 3)").alias("ckey"), "term", "w")
     pw = w.filter(F.col("doc").startswith("p:")).select(F.expr("substring(doc, 3)").cast("long").alias("page_ord"),
                                                         "term", "w")
@@ -79,7 +80,7 @@ def recommended_action(flag, intent, pos):
 
 def map_clusters_to_pages(q: DataFrame, cluster: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Returns (q + primary_page, cluster + text, pages, scores, flag, action)."""
-    cl = cluster_text(cluster, q).persist()
+    cl = materialize(cluster_text(cluster, q))
     scores = match_scores(cl, pages)
     top = best_two(cl, pages, scores)
     flag = ((F.col("match_score") - F.col("runner_up_score") < F.lit(CANNIBAL_GAP))

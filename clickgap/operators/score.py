@@ -15,12 +15,13 @@ from clickgap.config import (CTR_FLOOR, DEFAULT_EXPECTED_CTR, PRIORITY_QUANTILES
                              SCORE_WEIGHTS)
 from clickgap.functions.numeric import pos_bucket
 from clickgap.operators.quantiles import medians, quantiles
+from clickgap.session import materialize
 
 
 def bucket_expectations(q: DataFrame) -> dict[str, float]:
     """Expected CTR per bucket: max(median CTR of the bucket, floor); a
     bucket without a median uses the overall median, then 0.01."""
-    b = q.select(pos_bucket(F.col("position")).alias("pos_bucket"), "ctr")
+    b = materialize(q.select(pos_bucket(F.col("position")).alias("pos_bucket"), "ctr"))
     per_bucket = medians(b, ["pos_bucket"], "ctr")
     overall = medians(b, [], "ctr").get((), None)
     out = {}
@@ -73,4 +74,6 @@ def priority_bands(q: DataFrame) -> DataFrame:
 
 
 def score_queries(q: DataFrame) -> DataFrame:
-    return priority_bands(opportunity(q))
+    """opportunity + bands; the scored table is written once before the
+    quantile passes read it."""
+    return priority_bands(materialize(opportunity(q)))

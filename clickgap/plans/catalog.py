@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from clickgap.config import CTR_FLOOR
 from clickgap.operators import enrich, score
 from clickgap.plans import oracle_sql as O
+from clickgap.session import materialize
 from clickgap.sources import fixtures as X
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -181,8 +182,7 @@ def priority_score(spark, sf):
 @register("priority_band", W(O.SCORED_CTES, """
 SELECT row_id, priority_band FROM banded"""))
 def priority_band(spark, sf):
-    q = score.opportunity(enriched(spark, sf)).persist()
-    return score.priority_bands(q).select("row_id", "priority_band")
+    return score.score_queries(enriched(spark, sf)).select("row_id", "priority_band")
 
 
 _URL_PATH_SQL = (r"regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[\t\r\n]', '', 'g'), "
@@ -299,22 +299,21 @@ def surrogate(spark, sf) -> DataFrame:
     """Enriched + scored queries with the surrogate cluster id and labels."""
     from clickgap.operators import label
     q = X.surrogate_clusters(enriched(spark, sf))
-    q = label.label_clusters(q)
-    return score.priority_bands(score.opportunity(q).persist())
+    return materialize(score.score_queries(label.label_clusters(q)))
 
 
 def surrogate_clusters_table(spark, sf):
     from clickgap.operators import aggregate
-    q = surrogate(spark, sf).persist()
+    q = surrogate(spark, sf)
     return q, aggregate.aggregate_clusters(q)
 
 
 def surrogate_mapped(spark, sf):
     from clickgap.operators import pages
     q, cl = surrogate_clusters_table(spark, sf)
-    p = enrich.preprocess_pages(X.search_pages(spark, sf)).persist()
+    p = materialize(enrich.preprocess_pages(X.search_pages(spark, sf)))
     qf, cf = pages.map_clusters_to_pages(q, cl, p)
-    return qf.persist(), cf.persist(), p
+    return materialize(qf), materialize(cf), p
 
 
 @register("topic_labels", W(O.LABEL_CTES, """

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from clickgap.config import Config
 from clickgap.operators import aggregate, cluster, enrich, label, pages, score
-from clickgap.session import checkpoint_dir
+from clickgap.session import materialize
 
 
 def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, DataFrame]:
@@ -25,17 +25,15 @@ def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, Data
         raise ValueError("All queries were filtered out by exclusion terms. "
                          "Please adjust your exclusion terms.")
     p = enrich.preprocess_pages(page_rows).persist()
-    q = cluster.cluster_queries(q.persist(), cfg)
-    checkpoint_dir(q.sparkSession)
-    q = q.checkpoint()
+    q = materialize(cluster.cluster_queries(materialize(q), cfg))
     q = label.label_clusters(q)
     if cfg.merge_plurals:
         q = label.merge_plural_clusters(q)
-    q = score.priority_bands(score.opportunity(q).persist()).persist()
+    q = materialize(score.score_queries(q))
     cl = aggregate.aggregate_clusters(q)
     q_final, cl_final = pages.map_clusters_to_pages(q, cl, p)
-    cl_final = cl_final.persist()
-    q_final = q_final.persist()
+    cl_final = materialize(cl_final)
+    q_final = materialize(q_final)
     return {
         "q": q_final,
         "cluster": cl_final,

@@ -51,3 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="clickgap-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def materialize(df):
+    """Write ``df`` to the session's checkpoint directory and continue from
+    the written copy.
+
+    Used at stage boundaries: the plan below becomes a scan of the written
+    files, so later plans stay small (cached plans otherwise nest inside
+    each other and every adaptive re-plan renders all of them), and the
+    stage is not recomputed after an executor loss.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
