@@ -39,8 +39,11 @@ def _lerp(a: float, b: float, t: float) -> float:
 def order_statistics(df: DataFrame, keys: list[str], value: str,
                      ranks: dict[tuple, list[int]], small: int = 50_000,
                      grid: int = 64, accuracy: int = 20_000,
-                     max_rounds: int = 12) -> dict[tuple, dict[int, float]]:
-    """k-th smallest non-null ``value`` (0-based k) for each group in ``ranks``."""
+                     max_rounds: int = 12,
+                     counts: dict[tuple, int] | None = None) -> dict[tuple, dict[int, float]]:
+    """k-th smallest non-null ``value`` (0-based k) for each group in ``ranks``.
+    With ``counts`` known, groups of at most ``small`` values skip straight
+    to the exact step."""
     spark = df.sparkSession
     base = df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")) \
              .filter(F.col("_v").isNotNull())
@@ -54,7 +57,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     schema = "tid int" + (", " + key_schema if keys else "") + ", lo double, hi double"
     probs = [(i + 1) / (grid + 1) for i in range(grid)]
 
-    for _ in range(max_rounds):
+    for rnd in range(max_rounds):
         if not active:
             break
         tdf = spark.createDataFrame([(t[0], *t[1], t[3], t[4]) for t in active], schema)
@@ -62,18 +65,21 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
         cond.append(tdf["lo"].isNull() | (base["_v"] > tdf["lo"]))
         cond.append(tdf["hi"].isNull() | (base["_v"] <= tdf["hi"]))
         inside = base.join(F.broadcast(tdf), cond).select("tid", base["_v"])
-        stats = {r["tid"]: r for r in inside.groupBy("tid").agg(
-            F.count("*").alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
-            F.percentile_approx("_v", probs, accuracy).alias("g")).collect()}
-        exact, refine = [], []
-        for t in active:
-            s = stats[t[0]]
-            if s["mn"] == s["mx"]:
-                result[t[1]][t[2]] = s["mn"]
-            elif s["n"] <= small:
-                exact.append(t)
-            else:
-                refine.append((t, sorted(set(s["g"]))))
+        if rnd == 0 and counts is not None and all(counts[t[1]] <= small for t in active):
+            exact, refine = list(active), []
+        else:
+            stats = {r["tid"]: r for r in inside.groupBy("tid").agg(
+                F.count("*").alias("n"), F.min("_v").alias("mn"), F.max("_v").alias("mx"),
+                F.percentile_approx("_v", probs, accuracy).alias("g")).collect()}
+            exact, refine = [], []
+            for t in active:
+                s = stats[t[0]]
+                if s["mn"] == s["mx"]:
+                    result[t[1]][t[2]] = s["mn"]
+                elif s["n"] <= small:
+                    exact.append(t)
+                else:
+                    refine.append((t, sorted(set(s["g"]))))
         if exact:
             ids = [t[0] for t in exact]
             local = {t[0]: t[2] - t[5] for t in exact}
@@ -91,11 +97,11 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
             active = []
             break
         gdf = spark.createDataFrame([(t[0], g) for t, g in refine], "tid int, g array<double>")
-        counts = (inside.join(F.broadcast(gdf), "tid")
+        bucket_rows = (inside.join(F.broadcast(gdf), "tid")
                   .withColumn("b", F.size(F.filter("g", lambda x: x < F.col("_v"))))
                   .groupBy("tid", "b").count().collect())
         per = {}
-        for r in counts:
+        for r in bucket_rows:
             per.setdefault(r["tid"], {})[r["b"]] = r["count"]
         nxt = []
         for t, g in refine:
@@ -133,7 +139,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str,
             hi = min(lo + 1, n - 1)
             plan[(g, p)] = (lo, hi, pos - lo)
             ranks.setdefault(g, []).extend([lo, hi])
-    stats = order_statistics(df, keys, value, ranks) if ranks else {}
+    stats = order_statistics(df, keys, value, ranks, counts=counts) if ranks else {}
     out = {}
     for g, n in counts.items():
         vals = []
@@ -152,7 +158,7 @@ def medians(df: DataFrame, keys: list[str], value: str) -> dict[tuple, float | N
     counts = {tuple(r[k] for k in keys): r["n"] for r in
               df.groupBy(*keys).agg(F.count(value).alias("n")).collect()}
     ranks = {g: [(n - 1) // 2, n // 2] for g, n in counts.items() if n > 0}
-    stats = order_statistics(df, keys, value, ranks) if ranks else {}
+    stats = order_statistics(df, keys, value, ranks, counts=counts) if ranks else {}
     out = {}
     for g, n in counts.items():
         if n == 0:

@@ -21,9 +21,12 @@ from clickgap.session import materialize
 def bucket_expectations(q: DataFrame) -> dict[str, float]:
     """Expected CTR per bucket: max(median CTR of the bucket, floor); a
     bucket without a median uses the overall median, then 0.01."""
-    b = materialize(q.select(pos_bucket(F.col("position")).alias("pos_bucket"), "ctr"))
-    per_bucket = medians(b, ["pos_bucket"], "ctr")
-    overall = medians(b, [], "ctr").get((), None)
+    b = q.select(pos_bucket(F.col("position")).alias("pos_bucket"), "ctr")
+    # the overall median rides along as the group with a null bucket
+    both = b.unionByName(b.withColumn("pos_bucket", F.lit(None).cast("string")))
+    meds = medians(both, ["pos_bucket"], "ctr")
+    per_bucket = {k: v for k, v in meds.items() if k != (None,)}
+    overall = meds.get((None,))
     out = {}
     for bucket, floor in CTR_FLOOR.items():
         med = per_bucket.get((bucket,))
@@ -74,6 +77,7 @@ def priority_bands(q: DataFrame) -> DataFrame:
 
 
 def score_queries(q: DataFrame) -> DataFrame:
-    """opportunity + bands; the scored table is written once before the
-    quantile passes read it."""
+    """opportunity + bands. The input is written once before the median
+    passes read it, the scored table once before the quantile passes."""
+    q = materialize(q)
     return priority_bands(materialize(opportunity(q)))
