@@ -149,6 +149,10 @@ DEFAULT_INTENT_PATTERNS = {
     ],
 }
 
+# Cell texts a CSV export treats as missing (the pandas reader's defaults).
+NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 # Brief / report sizes.
 BRIEF_TOP_N = 20
 CHART_TOP_N = 15
