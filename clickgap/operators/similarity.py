@@ -4,8 +4,9 @@
 stratum without materialising all pairs: prefix filtering for cosine
 all-pairs (Bayardo, Ma, Srikant, WWW 2007). Terms of each vector are put
 in a global order per stratum (rarest first); a vector's prefix is the
-terms whose remaining suffix norm is still >= ``min_sim``. For unit
-vectors with x.y > min_sim the two prefixes must share a term, so the
+terms whose remaining suffix can still contribute ``min_sim`` (bounded by
+its norm and by the terms' largest weights). For unit vectors with
+x.y > min_sim the two prefixes must share a term, so the
 candidate self-join runs on prefix terms only - frequent terms sit in the
 suffixes and never fan out - and each candidate's exact dot product is
 then computed from the full vectors. The result is exact.
@@ -23,12 +24,22 @@ _EPS = 1e-9
 
 
 def prefix_terms(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
-    """(strata, key, term) for the prefix of each vector."""
+    """(strata, key, term) for the prefix of each vector.
+
+    The suffix of x starting at a term is bounded two ways against any unit
+    y: by its norm (Cauchy-Schwarz) and by sum(x_t * maxw_t), maxw_t being
+    the largest weight of term t in the stratum. A term is in the prefix
+    while the smaller bound of its suffix is still >= min_sim.
+    """
+    maxw = weights.groupBy(*strata, "term").agg(F.max("w").alias("_maxw"))
     order = Window.partitionBy(*strata, key).orderBy(F.col("df").asc(), F.col("term").asc()) \
                   .rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    with_max = weights.join(maxw, strata + ["term"])
     suffix_sq = F.sum(F.col("w") * F.col("w")).over(order)
-    return (weights.withColumn("_suffix", suffix_sq)
-            .filter(F.col("_suffix") >= F.lit(min_sim * min_sim - _EPS))
+    suffix_dot = F.sum(F.col("w") * F.col("_maxw")).over(order)
+    bound = F.least(F.sqrt(suffix_sq), suffix_dot)
+    return (with_max.withColumn("_bound", bound)
+            .filter(F.col("_bound") >= F.lit(min_sim - _EPS))
             .select(*strata, key, "term"))
 
 
