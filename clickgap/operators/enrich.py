@@ -54,6 +54,12 @@ def exclude_terms(df: DataFrame, cfg: Config) -> DataFrame:
     return df.filter(~R.matches_any(F.col("query_norm"), pats))
 
 
+def exclusion_counts(parsed: DataFrame, cfg: Config) -> DataFrame:
+    """One row (kept, excluded) - one aggregation over the parsed rows."""
+    hit = R.matches_any(F.col("query_norm"), R.term_patterns(cfg.exclusion_terms))
+    return parsed.agg(F.count_if(~hit).alias("kept"), F.count_if(hit).alias("excluded"))
+
+
 def classify(df: DataFrame, cfg: Config) -> DataFrame:
     """Intent, confidence, matched intents, brand, term flags, segment."""
     qn = F.col("query_norm")

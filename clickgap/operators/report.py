@@ -102,6 +102,30 @@ def effort_table(cluster: DataFrame) -> DataFrame:
             .orderBy(F.col("effort_level").asc(), F.col("opportunity_clicks").desc(), "cluster_id"))
 
 
+RISK_DISPLAY_COLS = ["primary_topic", "primary_intent", "competing_topic", "competing_intent",
+                     "shared_page", "primary_match_score", "runner_up_match_score",
+                     "score_difference", "risk_level"]
+EFFORT_DISPLAY_COLS = ["effort_label", "recommended_action", "topic_label", "intent",
+                       "opportunity_clicks", "priority_band", "primary_page", "avg_position"]
+
+
+def display(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Project the display columns that exist, in display order."""
+    return df.select(*[c for c in cols if c in df.columns])
+
+
+def filtered_totals(cluster: DataFrame, keywords: DataFrame, brand="All", intent="All",
+                    brands=(), topics=(), intents=()) -> DataFrame:
+    """A15 + A16: opportunity clicks of the filtered clusters and the number
+    of keywords left by the keyword filters, as one row."""
+    c = filter_eq(filter_eq(cluster, "brand_label", brand), "intent", intent)
+    k = filter_in(filter_in(filter_in(keywords, "brand_label", brands), "topic_label", topics), "intent", intents)
+    # both totals in one aggregation over the union of the two filtered sets
+    both = (c.select(F.col("opportunity_clicks").alias("_o"), F.lit(None).cast("long").alias("_k"))
+             .unionByName(k.select(F.lit(None).cast("double").alias("_o"), F.lit(1).cast("long").alias("_k"))))
+    return both.agg(F.sum("_o").alias("filtered_opportunity_clicks"), F.count("_k").alias("filtered_keywords"))
+
+
 def effort_counts(effort: DataFrame) -> DataFrame:
     """Clusters per effort level (sorted by level) with its label."""
     return effort.groupBy("effort_level", "effort_label").agg(F.count("*").alias("clusters")) \

@@ -595,3 +595,35 @@ def pipeline_clusters(spark, sf):
     return out["cluster"].select("cluster_id", "topic_label", "segment", "queries", "clicks", "impressions",
                                  r6("opportunity_clicks").alias("opportunity_clicks"), "priority_band",
                                  "primary_page", r6("match_score").alias("match_score"), "recommended_action")
+
+
+# ---------------------------------------------------------------------------
+# 7. remaining per-row and view operators
+# ---------------------------------------------------------------------------
+
+@register("exclusion_count", W(O.ENRICHED_CTES, """
+SELECT count_if(NOT regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS kept,
+       count_if(regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS excluded
+FROM parsed"""))
+def exclusion_count(spark, sf):
+    q = enrich.parse_query_metrics(X.search_queries(spark, sf))
+    return enrich.exclusion_counts(q, X.FIXTURE_CONFIG)
+
+
+@register("query_tokens", W(O.ENRICHED_CTES, """
+SELECT row_id, list_filter(string_split(query_norm, ' '), lambda x: x <> '') AS tokens FROM seg"""))
+def query_tokens(spark, sf):
+    return enrich.query_tokens(enriched(spark, sf)).select("row_id", "tokens")
+
+
+@register("filtered_totals", W(O.MATCH_CTES + O.KEYWORD_CTES, """
+SELECT (SELECT round(sum(opportunity_clicks), 6) FROM cf
+        WHERE brand_label = 'Non-Branded' AND intent = 'transactional') AS filtered_opportunity_clicks,
+       (SELECT count(*) FROM kw WHERE brand_label IN ('Non-Branded')
+          AND intent IN ('transactional', 'commercial')) AS filtered_keywords"""))
+def filtered_totals(spark, sf):
+    from clickgap.operators import report
+    qf, cf, _ = surrogate_mapped(spark, sf)
+    t = report.filtered_totals(cf, report.keyword_table(qf, cf), brand="Non-Branded", intent="transactional",
+                               brands=["Non-Branded"], intents=["transactional", "commercial"])
+    return t.select(r6("filtered_opportunity_clicks").alias("filtered_opportunity_clicks"), "filtered_keywords")
