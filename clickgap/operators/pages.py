@@ -3,7 +3,8 @@ A6, A7, P31-P34, U1).
 
 Match: one TF-IDF (1-3-grams, no pruning) over cluster texts and page
 texts together; scores come from an inverted-index join on shared terms,
-so only positive pairs exist. The best page on all-zero scores is the
+so only positive pairs exist, and frequent terms are pruned by a bound
+(``match_scores``). The best page on all-zero scores is the
 first page, so the first two pages by ``page_ord`` join every cluster
 with score 0 (two literal page ids); then ``row_number`` by (score desc,
 page_ord) picks primary (1) and runner-up (2). Two fillers suffice: either
@@ -36,8 +37,18 @@ def cluster_text(cluster: DataFrame, q: DataFrame) -> DataFrame:
             .drop("rep"))
 
 
-def match_scores(cl: DataFrame, pages: DataFrame) -> DataFrame:
-    """(ckey, page_ord, score) for every positive cluster/page pair."""
+def match_scores(cl: DataFrame, pages: DataFrame, rare_df: int = 1000) -> DataFrame:
+    """(ckey, page_ord, score) holding every pair that can reach a cluster's
+    top two, with exact scores.
+
+    Pairs sharing a *rare* term (on at most ``rare_df`` pages) are scored
+    first, so each cluster term fans out to a bounded number of pages. What
+    frequent terms can still add to any page is bounded per cluster by
+    sum(w_c * max page weight). A cluster whose bound is below its
+    second-best partial score has its top two among the rare-term
+    candidates (their exact score only grows); only clusters without that
+    margin are scored against every page sharing a term.
+    """
     docs = (cl.select(F.lit("c").alias("side"), F.col("ckey").alias("doc"), F.col("cluster_text").alias("text"))
               .unionByName(pages.select(F.lit("p").alias("side"), F.col("page_ord").cast("string").alias("doc"),
                                         F.col("page_text").alias("text"))))
@@ -47,7 +58,29 @@ def match_scores(cl: DataFrame, pages: DataFrame) -> DataFrame:
     cw = w.filter(F.col("doc").startswith("c:")).select(F.expr("substring(doc, 3)").alias("ckey"), "term", "w")
     pw = w.filter(F.col("doc").startswith("p:")).select(F.expr("substring(doc, 3)").cast("long").alias("page_ord"),
                                                         "term", "w")
-    return dot_products(cw, pw, "ckey", "page_ord")
+    tstat = pw.groupBy("term").agg(F.count("*").alias("pdf"), F.max("w").alias("maxw"))
+    rare = tstat.filter(F.col("pdf") <= rare_df).select("term")
+    cw_rare = cw.join(rare, "term", "left_semi")
+    partial = materialize(dot_products(cw_rare, pw.join(rare, "term", "left_semi"), "ckey", "page_ord"))
+    # per cluster: bound on the frequent-term part, second-best partial score
+    bound = (cw.join(tstat.filter(F.col("pdf") > rare_df), "term")
+               .groupBy("ckey").agg(F.sum(F.col("w") * F.col("maxw")).alias("ub")))
+    rank = Window.partitionBy("ckey").orderBy(F.col("score").desc())
+    second = (partial.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") == 2)
+                     .select("ckey", F.col("score").alias("lb2")))
+    resolved = (second.join(bound, "ckey", "left")
+                      .filter(F.coalesce(F.col("ub"), F.lit(0.0)) < F.col("lb2")).select("ckey"))
+    # resolved clusters: exact scores of their candidates only
+    cw_freq = cw.join(rare, "term", "left_anti")
+    cand = partial.join(resolved, "ckey", "left_semi")
+    extra = (cand.select("ckey", "page_ord").join(cw_freq, "ckey")
+                 .join(pw.withColumnRenamed("w", "wp"), ["page_ord", "term"])
+                 .groupBy("ckey", "page_ord").agg(F.sum(F.col("w") * F.col("wp")).alias("extra")))
+    exact_cand = (cand.join(extra, ["ckey", "page_ord"], "left")
+                      .select("ckey", "page_ord", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")))
+    # the others: every page sharing a term
+    rest = dot_products(cw.join(resolved, "ckey", "left_anti"), pw, "ckey", "page_ord")
+    return exact_cand.unionByName(rest)
 
 
 def best_two(cl: DataFrame, pages: DataFrame, scores: DataFrame) -> DataFrame:
@@ -78,10 +111,11 @@ def recommended_action(flag, intent, pos):
              .otherwise(ACTION_CONTENT_REFRESH))
 
 
-def map_clusters_to_pages(q: DataFrame, cluster: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Returns (q + primary_page, cluster + text, pages, scores, flag, action)."""
+def map_clusters_to_pages(q: DataFrame, cluster: DataFrame, pages: DataFrame,
+                          rare_df: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Returns (q + primary_page, cluster + text, match, runner-up, flag, action)."""
     cl = materialize(cluster_text(cluster, q))
-    scores = match_scores(cl, pages)
+    scores = match_scores(cl, pages, rare_df)
     top = best_two(cl, pages, scores)
     flag = ((F.col("match_score") - F.col("runner_up_score") < F.lit(CANNIBAL_GAP))
             & (F.col("match_score") > F.lit(CANNIBAL_MIN_MATCH)))

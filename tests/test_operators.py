@@ -156,3 +156,24 @@ def test_no_common_terms_first_page_zero(spark):
     r = out.first()
     assert r["primary_page"] == "https://e.com/alpha" and r["match_score"] == 0.0
     assert not r["cannibalisation_risk"]
+
+
+def test_page_match_pruning_is_exact(spark):
+    """Frequent-term pruning gives the same primary / runner-up as scoring
+    every shared-term pair."""
+    from clickgap.operators import aggregate
+    from clickgap.plans.catalog import surrogate
+    from clickgap.sources import fixtures as X
+    from conftest import SF001
+    q = surrogate(spark, SF001)
+    cl = aggregate.aggregate_clusters(q)
+    p = enrich.preprocess_pages(X.search_pages(spark, SF001))
+
+    def run(rare_df):
+        _, out = pages.map_clusters_to_pages(q, cl, p, rare_df)
+        return {(r["cluster_id"], r["topic_label"]): (r["primary_page"], round(r["match_score"], 9),
+                                                     r["runner_up_page"], round(r["runner_up_score"], 9))
+                for r in out.collect()}
+    full = run(10 ** 9)
+    for rare_df in (1, 3, 12):
+        assert run(rare_df) == full
