@@ -119,11 +119,11 @@ def map_clusters_to_pages(q: DataFrame, cluster: DataFrame, pages: DataFrame,
     top = best_two(cl, pages, scores)
     flag = ((F.col("match_score") - F.col("runner_up_score") < F.lit(CANNIBAL_GAP))
             & (F.col("match_score") > F.lit(CANNIBAL_MIN_MATCH)))
-    out = (cl.join(top, "ckey", "left")
-             .withColumn("cannibalisation_risk", flag)
-             .withColumn("recommended_action", recommended_action(
-                 F.col("cannibalisation_risk"), F.col("dominant_intent"), F.col("avg_position")))
-             .drop("ckey"))
+    out = materialize(cl.join(top, "ckey", "left")
+                      .withColumn("cannibalisation_risk", flag)
+                      .withColumn("recommended_action", recommended_action(
+                          F.col("cannibalisation_risk"), F.col("dominant_intent"), F.col("avg_position")))
+                      .drop("ckey"))
     # duplicate cluster ids: the last row in key order wins
     page_of = out.groupBy("cluster_id").agg(
         F.max_by("primary_page", F.struct("topic_label", "segment", "brand_label", "intent")).alias("primary_page"))

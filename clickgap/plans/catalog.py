@@ -313,7 +313,7 @@ def surrogate_mapped(spark, sf):
     q, cl = surrogate_clusters_table(spark, sf)
     p = materialize(enrich.preprocess_pages(X.search_pages(spark, sf)))
     qf, cf = pages.map_clusters_to_pages(q, cl, p)
-    return materialize(qf), materialize(cf), p
+    return materialize(qf), cf, p
 
 
 @register("topic_labels", W(O.LABEL_CTES, """

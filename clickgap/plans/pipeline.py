@@ -32,7 +32,6 @@ def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, Data
     q = materialize(score.score_queries(q))
     cl = aggregate.aggregate_clusters(q)
     q_final, cl_final = pages.map_clusters_to_pages(q, cl, p)
-    cl_final = materialize(cl_final)
     q_final = materialize(q_final)
     return {
         "q": q_final,
