@@ -1,0 +1,64 @@
+"""Rows-only queries checked against brute force or invariants."""
+
+from collections import defaultdict
+from dataclasses import replace
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from bruteforce import naive_average_linkage
+from clickgap.config import Config
+from clickgap.operators import cluster
+from clickgap.plans.pipeline import run
+from clickgap.sources import fixtures as X
+from conftest import SF001
+
+
+def test_embedding_clusters_match_brute_force(spark):
+    emb = X.table(spark, SF001, "embeddings")
+    out = cluster.cluster_embeddings(emb, "label", "vec_id", "embedding", Config()).collect()
+    got = {r["vec_id"]: r["cluster_id"] for r in out}
+    rows = emb.collect()
+    by_label = defaultdict(list)
+    for r in rows:
+        by_label[r["label"]].append(r)
+    assert len(got) == len(rows)
+    for label, rs in by_label.items():
+        rs.sort(key=lambda r: r["vec_id"])
+        x = np.array([r["embedding"] for r in rs], dtype=np.float64)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        d = np.clip(1 - x @ x.T, 0, None)
+        want = {frozenset(rs[i]["vec_id"] for i in c) for c in naive_average_linkage(d, 0.75)}
+        part = defaultdict(set)
+        for r in rs:
+            part[got[r["vec_id"]]].add(r["vec_id"])
+        assert {frozenset(v) for v in part.values()} == want, label
+
+
+def test_kmeans_path_assigns_every_row_within_its_segment(spark):
+    q = X.surrogate_clusters  # noqa: F841 (fixture module import check)
+    from clickgap.plans.catalog import enriched
+    e = enriched(spark, SF001)
+    out = cluster.cluster_queries(e, replace(X.FIXTURE_CONFIG, method="kmeans"))
+    assert out.count() == e.count()
+    # a cluster never spans two segments and its id is one of its rows
+    bad = (out.groupBy("cluster_id").agg(F.countDistinct("segment").alias("s"),
+                                         F.max(F.col("row_id") == F.col("cluster_id")).alias("own"))
+              .filter((F.col("s") > 1) | ~F.col("own")).count())
+    assert bad == 0
+
+
+def test_pipeline_invariants(spark):
+    out = run(X.search_queries(spark, SF001), X.search_pages(spark, SF001),
+              replace(X.FIXTURE_CONFIG, merge_plurals=True))
+    q, cl, pall = out["q"], out["cluster"], out["page_all"]
+    # every query keeps a cluster and a primary page
+    assert q.filter(F.col("cluster_id").isNull() | F.col("primary_page").isNull()).count() == 0
+    # cluster sums equal query sums
+    qs = q.agg(F.sum("clicks"), F.sum("impressions"), F.sum("opportunity_clicks")).first()
+    cs = cl.agg(F.sum("clicks"), F.sum("impressions"), F.sum("opportunity_clicks")).first()
+    assert all(abs(a - b) < 1e-6 for a, b in zip(qs, cs))
+    # page totals cover every cluster exactly once
+    assert pall.agg(F.sum("clusters")).first()[0] == cl.count()
+    # bands follow the score quantiles
+    assert set(r[0] for r in cl.select("priority_band").distinct().collect()) <= {"P1", "P2", "P3"}
