@@ -77,7 +77,6 @@ def priority_bands(q: DataFrame) -> DataFrame:
 
 
 def score_queries(q: DataFrame) -> DataFrame:
-    """opportunity + bands. The input is written once before the median
-    passes read it, the scored table once before the quantile passes."""
-    q = materialize(q)
-    return priority_bands(materialize(opportunity(q)))
+    """opportunity + bands. The input is written once; the median and
+    quantile passes then re-read it through a narrow projection."""
+    return priority_bands(opportunity(materialize(q)))
