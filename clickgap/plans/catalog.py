@@ -90,7 +90,8 @@ def query_normalize(spark, sf):
     from clickgap.functions.text import normalize_query
     docs = X.table(spark, sf, "documents").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return docs.select("doc_id", "line_no", normalize_query(F.col("line")).alias("query_norm"))
+    return docs.select("doc_id", F.col("line_no").cast("long").alias("line_no"),
+                       normalize_query(F.col("line")).alias("query_norm"))
 
 
 @register("exclusion_filter", W(O.ENRICHED_CTES, """
@@ -458,8 +459,8 @@ def risk_pairs_runner_up(spark, sf):
 
 
 @register("risk_summary", W(O.MATCH_CTES + O.RISK_CTES, """
-SELECT count(*) AS total_risks, count_if(risk_level = 'High') AS high_risks,
-       count_if(risk_level = 'Medium') AS medium_risks
+SELECT count(*) AS total_risks, CAST(count_if(risk_level = 'High') AS BIGINT) AS high_risks,
+       CAST(count_if(risk_level = 'Medium') AS BIGINT) AS medium_risks
 FROM (SELECT * FROM risk_same UNION ALL SELECT * FROM risk_runner)"""))
 def risk_summary(spark, sf):
     from clickgap.operators import risk
@@ -602,8 +603,8 @@ def pipeline_clusters(spark, sf):
 # ---------------------------------------------------------------------------
 
 @register("exclusion_count", W(O.ENRICHED_CTES, """
-SELECT count_if(NOT regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS kept,
-       count_if(regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS excluded
+SELECT CAST(count_if(NOT regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS BIGINT) AS kept,
+       CAST(count_if(regexp_matches(query_norm, '""" + O.RX_EXCLUDE + """')) AS BIGINT) AS excluded
 FROM parsed"""))
 def exclusion_count(spark, sf):
     q = enrich.parse_query_metrics(X.search_queries(spark, sf))
