@@ -1,0 +1 @@
+"""Column expressions: text, URL, number parsing, regex rules."""

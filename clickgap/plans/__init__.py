@@ -1,0 +1 @@
+"""End-to-end run, the registered query catalog and its DuckDB oracles."""

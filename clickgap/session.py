@@ -41,7 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error (a machine-local folder would
     not survive executor loss).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # remote (Connect) session: the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current

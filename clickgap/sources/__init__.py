@@ -1,0 +1 @@
+"""Inputs and outputs: export ingest, keyword config, sinks, test-table fixtures."""

@@ -1,0 +1 @@
+"""Stateless enrichment on streaming sources."""

@@ -36,7 +36,6 @@ def test_embedding_clusters_match_brute_force(spark):
 
 
 def test_kmeans_path_assigns_every_row_within_its_segment(spark):
-    q = X.surrogate_clusters  # noqa: F841 (fixture module import check)
     from clickgap.plans.catalog import enriched
     e = enriched(spark, SF001)
     out = cluster.cluster_queries(e, replace(X.FIXTURE_CONFIG, method="kmeans"))
