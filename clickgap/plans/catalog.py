@@ -585,12 +585,12 @@ def brief_markdown(spark, sf):
     return report.brief_markdown(pages.page_opportunity_all(cf, p), X.FIXTURE_CONFIG.client_name)
 
 
-@register("pipeline_clusters")
-def pipeline_clusters(spark, sf):
+@register("end_to_end_clusters")
+def end_to_end_clusters(spark, sf):
     """Full run (real clustering, labels, plural merge, page match)."""
     from dataclasses import replace
 
-    from clickgap.plans.pipeline import run
+    from clickgap.plans.runner import run
     out = run(X.search_queries(spark, sf), X.search_pages(spark, sf),
               replace(X.FIXTURE_CONFIG, merge_plurals=True))
     return out["cluster"].select("cluster_id", "topic_label", "segment", "queries", "clicks", "impressions",

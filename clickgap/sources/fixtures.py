@@ -84,24 +84,6 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ctr_raw").alias("page_ctr_raw"), F.col("position").alias("page_position"))
 
 
-def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A larger query export from ``documents``: every line of every text is
-    one query string (whole texts, every line). Metrics come from the
-    document's own fields so the rows are deterministic."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    lines = docs.select("doc_id", "n_chars",
-                        F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "query"))
-    lines = lines.filter(F.trim(F.col("query")) != "")
-    return lines.select(
-        "query",
-        (F.col("n_chars") % 97).cast("bigint").alias("clicks"),
-        (F.col("n_chars") % 997 + 100).cast("bigint").alias("impressions"),
-        F.lit(None).cast("string").alias("ctr_raw"),
-        ((F.col("doc_id") + F.col("line_no")) % 30 + 1).cast("double").alias("position"),
-        (F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"),
-    )
-
-
 def surrogate_clusters(q: DataFrame) -> DataFrame:
     """Stand-in cluster ids SQL can state: the smallest row_id per
     (segment, last word of query_norm). Used to test the operators that

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bruteforce import naive_average_linkage
 from clickgap.config import Config
 from clickgap.operators import cluster
-from clickgap.plans.pipeline import run
+from clickgap.plans.runner import run
 from clickgap.sources import fixtures as X
 from conftest import SF001
 
@@ -47,7 +47,7 @@ def test_kmeans_path_assigns_every_row_within_its_segment(spark):
     assert bad == 0
 
 
-def test_pipeline_invariants(spark):
+def test_end_to_end_invariants(spark):
     out = run(X.search_queries(spark, SF001), X.search_pages(spark, SF001),
               replace(X.FIXTURE_CONFIG, merge_plurals=True))
     q, cl, pall = out["q"], out["cluster"], out["page_all"]
