@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 _EPS = 1e-9
 
 
-def prefix_terms(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
-    """(strata, key, term) for the prefix of each vector.
+def split_prefix(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
+    """weights + ``in_prefix``.
 
     The suffix of x starting at a term is bounded two ways against any unit
     y: by its norm (Cauchy-Schwarz) and by sum(x_t * maxw_t), maxw_t being
@@ -34,28 +34,57 @@ def prefix_terms(weights: DataFrame, strata: list[str], key: str, min_sim: float
     maxw = weights.groupBy(*strata, "term").agg(F.max("w").alias("_maxw"))
     order = Window.partitionBy(*strata, key).orderBy(F.col("df").asc(), F.col("term").asc()) \
                   .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    with_max = weights.join(maxw, strata + ["term"])
     suffix_sq = F.sum(F.col("w") * F.col("w")).over(order)
     suffix_dot = F.sum(F.col("w") * F.col("_maxw")).over(order)
     bound = F.least(F.sqrt(suffix_sq), suffix_dot)
-    return (with_max.withColumn("_bound", bound)
-            .filter(F.col("_bound") >= F.lit(min_sim - _EPS))
-            .select(*strata, key, "term"))
+    return (weights.join(maxw, strata + ["term"])
+            .withColumn("in_prefix", bound >= F.lit(min_sim - _EPS))
+            .select(*strata, key, "term", "w", "in_prefix"))
+
+
+def prefix_terms(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
+    """(strata, key, term) for the prefix of each vector."""
+    return split_prefix(weights, strata, key, min_sim).filter("in_prefix").select(*strata, key, "term")
 
 
 def similarity_pairs(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
-    """(strata, a, b, sim) with a < b and sim > min_sim (exact)."""
-    pre = prefix_terms(weights, strata, key, min_sim)
+    """(strata, a, b, sim) with a < b and sim > min_sim (exact).
+
+    The common terms of a candidate split into three disjoint parts:
+    prefix(a) & prefix(b) - summed while the candidates are generated;
+    suffix(a) & b; prefix(a) & suffix(b). Only the two suffix parts need
+    lookups, and suffixes are short, so verification costs candidates x
+    suffix length instead of candidates x vector length.
+    """
+    from clickgap.session import materialize
+    sp = materialize(split_prefix(weights, strata, key, min_sim))
+    pre = sp.filter("in_prefix")
+    suf = sp.filter(~F.col("in_prefix"))
     l, r = pre.alias("l"), pre.alias("r")
     cond = [F.col(f"l.{s}") == F.col(f"r.{s}") for s in strata] + \
            [F.col("l.term") == F.col("r.term"), F.col(f"l.{key}") < F.col(f"r.{key}")]
-    cand = l.join(r, cond).select(*[F.col(f"l.{s}").alias(s) for s in strata],
-                                  F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b")).distinct()
-    va = weights.select(*strata, F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    vb = weights.select(*strata, F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    dots = (cand.join(va, strata + ["a"]).join(vb, strata + ["b", "term"])
-            .groupBy(*strata, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")))
-    return dots.filter(F.col("sim") > F.lit(min_sim))
+    cand = (l.join(r, cond)
+             .groupBy(*[F.col(f"l.{s}").alias(s) for s in strata],
+                      F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
+             .agg(F.sum(F.col("l.w") * F.col("r.w")).alias("p1")))
+    cand = materialize(cand)
+    full_b = sp.select(*strata, F.col(key).alias("b"), "term", F.col("w").alias("wb"))
+    pre_a = pre.select(*strata, F.col(key).alias("a"), "term", F.col("w").alias("wa"))
+    # suffix(a) & b
+    p2 = (cand.select(*strata, "a", "b")
+              .join(suf.select(*strata, F.col(key).alias("a"), "term", F.col("w").alias("wa")), strata + ["a"])
+              .join(full_b, strata + ["b", "term"])
+              .groupBy(*strata, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p2")))
+    # prefix(a) & suffix(b)
+    p3 = (cand.select(*strata, "a", "b")
+              .join(suf.select(*strata, F.col(key).alias("b"), "term", F.col("w").alias("wb")), strata + ["b"])
+              .join(pre_a, strata + ["a", "term"])
+              .groupBy(*strata, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p3")))
+    keys = strata + ["a", "b"]
+    sims = (cand.join(p2, keys, "left").join(p3, keys, "left")
+                .select(*keys, (F.col("p1") + F.coalesce("p2", F.lit(0.0))
+                                + F.coalesce("p3", F.lit(0.0))).alias("sim")))
+    return sims.filter(F.col("sim") > F.lit(min_sim))
 
 
 def dot_products(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
