@@ -20,12 +20,12 @@ def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, Data
     """queries: query, clicks, impressions, ctr_raw, position, row_id (+ extra)
     page_rows: page, page_clicks, page_impressions, page_ctr_raw, page_position, page_ord
     Returns q, cluster, page_all, page_segment, pages."""
-    q = enrich.preprocess_queries(queries, cfg)
+    q = materialize(enrich.preprocess_queries(queries, cfg))
     if cfg.exclusion_terms and q.isEmpty():
         raise ValueError("All queries were filtered out by exclusion terms. "
                          "Please adjust your exclusion terms.")
     p = enrich.preprocess_pages(page_rows).persist()
-    q = materialize(cluster.cluster_queries(materialize(q), cfg))
+    q = materialize(cluster.cluster_queries(q, cfg))
     q = label.label_clusters(q)
     if cfg.merge_plurals:
         q = label.merge_plural_clusters(q)
