@@ -11,7 +11,8 @@ each cluster's candidates before the shuffle).
 Plural merge: two clusters of the same intent merge when any word of one
 topic is a singular/plural form of a word of the other. Instead of
 testing all cluster pairs, each word is expanded to its plural forms and
-matched by an equi-join on (intent, word). Each cluster moves to its
+matched by an equi-join on (intent, word) against the two smallest cluster
+ids holding each word or form (no pair list). Each cluster moves to its
 smallest matching lower id, one hop, and keeps its topic label.
 """
 

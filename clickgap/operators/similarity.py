@@ -8,10 +8,11 @@ terms whose remaining suffix can still contribute ``min_sim`` (bounded by
 its norm and by the terms' largest weights). For unit vectors with
 x.y > min_sim the two prefixes must share a term, so the
 candidate self-join runs on prefix terms only - frequent terms sit in the
-suffixes and never fan out - and each candidate's exact dot product is
-then computed from the full vectors. The result is exact.
+suffixes and never fan out. The prefix part of each dot product is summed
+in that join and the suffix parts are added by lookup, so every candidate
+gets its exact cosine. The result is exact.
 
-``best_two`` ranks pages per cluster for the page match (J11 + W4).
+``dot_products`` is the plain inverted-index join used by the page match.
 """
 
 from __future__ import annotations

@@ -1,10 +1,12 @@
 """End-to-end run (M13): preprocess -> cluster -> label -> (merge) ->
 score -> aggregate -> match pages -> page tables.
 
-All stages are lazy DataFrames except the few scalar jobs (quantiles,
-component rounds). The clustered query table is checkpointed to the
-session's checkpoint directory: it ends the iterative part, so later
-stages never recompute it after an executor loss.
+Stages are DataFrames; the jobs that run while the plan is built are the
+scalar passes (quantiles, component rounds) and the writes at stage
+boundaries (``materialize``: enriched queries, clustered queries, scored
+queries, cluster table, match result). Each write goes to the session's
+checkpoint directory, so later stages never recompute an earlier stage
+after an executor loss.
 """
 
 from __future__ import annotations
