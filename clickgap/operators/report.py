@@ -67,7 +67,7 @@ def option_lists(df: DataFrame, brands=(), topics=()) -> DataFrame:
     t_src = filter_in(df, "brand_label", brands)
     t = t_src.select(F.lit("topic").alias("option"), F.col("topic_label").alias("value"))
     i = filter_in(t_src, "topic_label", topics).select(F.lit("intent").alias("option"), F.col("intent").alias("value"))
-    return b.unionByName(t).unionByName(i).dropna().distinct()
+    return b.unionByName(t).unionByName(i).dropna().distinct().orderBy("option", "value")
 
 
 def intent_opportunity(cluster: DataFrame, brand: str | None = "All") -> DataFrame:
