@@ -158,6 +158,19 @@ BRIEF_TOP_N = 20
 CHART_TOP_N = 15
 MD_MAX_CELL = 80
 
+# ---------------------------------------------------------------------------
+# Scale guards (ours, not part of the matched behaviour)
+# ---------------------------------------------------------------------------
+
+# k-means with k = n / 10 costs O(n * k) per iteration: above this many rows
+# a segment takes the exact component path instead (auto mode).
+KMEANS_MAX_ROWS = 100_000
+# Bytes allowed for the dense k-means centres (k x features x 8), which are
+# broadcast every iteration; the hashed feature space shrinks to fit.
+KMEANS_CENTRE_BYTES = 1 << 30
+KMEANS_MAX_FEATURES = 1 << 12
+KMEANS_MIN_FEATURES = 1 << 6
+
 # ---------------------------------------------------------------------------
 # Run configuration
 # ---------------------------------------------------------------------------
@@ -177,7 +190,8 @@ class Config:
     intent_keywords: dict[str, list[str]] | None = field(
         default_factory=lambda: {k: list(v) for k, v in DEFAULT_INTENT_KEYWORDS.items()})
     threshold: float = LINKAGE_THRESHOLD
-    # "auto": linkage up to CLUSTERING_THRESHOLD_N rows per segment, k-means above;
+    # "auto": linkage up to CLUSTERING_THRESHOLD_N rows per segment, k-means above
+    # (up to KMEANS_MAX_ROWS; larger segments take the exact component path);
     # "linkage": exact linkage at any size; "kmeans": k-means everywhere.
     method: str = "auto"
     merge_plurals: bool = False
