@@ -177,3 +177,13 @@ def test_page_match_pruning_is_exact(spark):
     full = run(10 ** 9)
     for rare_df in (1, 3, 12):
         assert run(rare_df) == full
+
+
+def test_builtin_rules_variant_brand_is_navigational(spark):
+    """Without keyword lists the built-in regex rules apply, brand terms first
+    in navigational; 'in <city>' counts as transactional there."""
+    rows = [("acme shoes", "1", "1", None, "1", 1), ("shoes in paris", "1", "1", None, "1", 2),
+            ("signin help", "1", "1", None, "1", 3)]
+    cfg = Config(brand_terms=("Acme",), intent_keywords=None, threshold=0.85)
+    out = {r["row_id"]: r["intent"] for r in enrich.preprocess_queries(_q(spark, rows), cfg).collect()}
+    assert out == {1: "navigational", 2: "transactional", 3: "navigational"}

@@ -46,3 +46,14 @@ def test_sinks_write(spark):
     sinks.write_csv(df, os.path.join(d, "csv"), partition_by="segment")
     back = spark.read.option("header", True).csv(os.path.join(d, "csv"))
     assert sorted(r["v"] for r in back.collect()) == ["[1,2]", "[3]"]
+
+
+def test_export_na_texts_become_null(spark):
+    d = tempfile.mkdtemp(prefix="cg-na-")
+    with open(os.path.join(d, "q.csv"), "w") as f:
+        f.write("Query,Clicks,Impressions,CTR,Position\nNA,n/a,10,NULL,#N/A\n")
+    r = exports.read_exports(spark, d, "queries").first()
+    assert r["query"] is None and r["clicks"] is None and r["ctr_raw"] is None and r["position"] is None
+    from clickgap.operators import enrich
+    e = enrich.parse_query_metrics(exports.read_exports(spark, d, "queries")).first()
+    assert e["query_norm"] == "nan" and e["clicks"] == 0.0 and e["position"] is None
