@@ -628,3 +628,16 @@ def filtered_totals(spark, sf):
     t = report.filtered_totals(cf, report.keyword_table(qf, cf), brand="Non-Branded", intent="transactional",
                                brands=["Non-Branded"], intents=["transactional", "commercial"])
     return t.select(r6("filtered_opportunity_clicks").alias("filtered_opportunity_clicks"), "filtered_keywords")
+
+
+@register("document_line_tfidf", W(O.DOC_TFIDF_CTES, """
+SELECT segment, query_norm, term, tf, df, round(w, 6) AS w FROM tw"""))
+def document_line_tfidf(spark, sf):
+    """Per-segment TF-IDF over every document line taken as a query
+    (normalisation of non-ASCII text, intents, segments, 1-3-grams)."""
+    from clickgap.operators import cluster
+    q = enrich.preprocess_queries(X.document_lines(spark, sf), X.FIXTURE_CONFIG)
+    texts = cluster.text_table(q.select("segment", "row_id", "query_norm"))
+    w, _ = cluster.segment_vectors(texts)
+    return (w.join(texts.select("segment", "rep", "query_norm"), ["segment", "rep"])
+             .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w")))

@@ -315,6 +315,18 @@ kw AS (SELECT qf.query, qf.cluster_id, tl.topic_label, qf.segment,
        LEFT JOIN ctopic_last tl ON tl.cluster_id = qf.cluster_id)"""
 
 
+DOC_LINES_SQL = """
+SELECT line AS query, CAST(NULL AS BIGINT) AS clicks, CAST(NULL AS BIGINT) AS impressions,
+       CAST(NULL AS VARCHAR) AS ctr_raw, CAST(NULL AS DOUBLE) AS position,
+       doc_id * 100000 + line_no AS row_id
+FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
+      FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"""
+
+# the same enrichment and TF-IDF chain over document lines
+DOC_TFIDF_CTES = (ENRICHED_CTES.replace(f"sq AS ({SEARCH_QUERIES_SQL})", f"sq AS ({DOC_LINES_SQL})", 1)
+                  + TFIDF_CTES[len(ENRICHED_CTES):])
+
+
 def with_ctes(ctes: str, body: str) -> str:
     head = "WITH RECURSIVE " if "reach(src, dst)" in ctes else "WITH "
     return head + ctes.strip() + "\n" + body

@@ -84,6 +84,20 @@ def search_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ctr_raw").alias("page_ctr_raw"), F.col("position").alias("page_position"))
 
 
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A larger query set: every line of every document (whole texts, empty
+    lines included) as one query row; the metric fields are empty."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("line_no", "query"))
+    return docs.select(
+        "query",
+        F.lit(None).cast("bigint").alias("clicks"),
+        F.lit(None).cast("bigint").alias("impressions"),
+        F.lit(None).cast("string").alias("ctr_raw"),
+        F.lit(None).cast("double").alias("position"),
+        (F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"))
+
+
 def surrogate_clusters(q: DataFrame) -> DataFrame:
     """Stand-in cluster ids SQL can state: the smallest row_id per
     (segment, last word of query_norm). Used to test the operators that
