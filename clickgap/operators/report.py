@@ -160,14 +160,22 @@ def _cell(c):
     return F.when(F.length(s) <= MD_MAX_CELL, s).otherwise(F.concat(F.left(s, F.lit(MD_MAX_CELL - 1)), F.lit("…")))
 
 
+def _fixed(col: str, digits: int):
+    """Fixed-point text as Python's ``f"{x:.{digits}f}"``: ``format_number``
+    rounds the exact binary value half-to-even (``bround`` would round the
+    shortest decimal form, so 3.45 -> 3.4 where Python prints 3.5); the
+    grouping commas it adds are removed. A missing value prints "nan"."""
+    return F.coalesce(F.regexp_replace(F.format_number(F.col(col), digits), ",", ""), F.lit("nan"))
+
+
 def brief_markdown(page_all: DataFrame, client: str) -> DataFrame:
     """Markdown brief: title, heading, table of the top 20 pages
-    (slug, opportunity '%.0f', position '%.1f', half-even as Python formats)."""
+    (slug, opportunity '.0f', position '.1f', rounded as Python formats)."""
     rows = top_pages(page_all).select(
         F.col("opportunity_clicks").alias("o"), "page",
         F.concat(F.lit("| "), F.concat_ws(" | ", _cell(F.col("slug")),
-                                          _cell(F.format_string("%.0f", F.bround("opportunity_clicks", 0))),
-                                          _cell(F.format_string("%.1f", F.bround("avg_position", 1)))),
+                                          _cell(_fixed("opportunity_clicks", 0)),
+                                          _cell(_fixed("avg_position", 1))),
                  F.lit(" |")).alias("line"))
     body = rows.agg(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("k"), "page", "line"))).alias("l"))
     head = f"# SEO Brief: {client}\n\n## Top Opportunities\n| Page | Opp Clicks | Pos |\n| --- | --- | --- |\n"

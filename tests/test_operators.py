@@ -187,3 +187,11 @@ def test_builtin_rules_variant_brand_is_navigational(spark):
     cfg = Config(brand_terms=("Acme",), intent_keywords=None, threshold=0.85)
     out = {r["row_id"]: r["intent"] for r in enrich.preprocess_queries(_q(spark, rows), cfg).collect()}
     assert out == {1: "navigational", 2: "transactional", 3: "navigational"}
+
+
+def test_brief_number_format_matches_python(spark):
+    from clickgap.operators.report import _fixed
+    vals = [0.15, 3.45, 2.5, 3.5, 2.675, 7.05, 1234567.25]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    for d in (0, 1):
+        assert [r[0] for r in df.select(_fixed("x", d)).collect()] == [f"{v:.{d}f}" for v in vals]
