@@ -68,3 +68,33 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``clickgap`` importable in Python workers (as ``--py-files``
+    would): zip the package's sources once per application and add the
+    zip with ``addPyFile``. Needed before any ``applyInPandas`` whose
+    function lives in this package."""
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:   # remote session: the server ships its own files
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="clickgap-py-"), "clickgap.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
