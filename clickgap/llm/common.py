@@ -143,3 +143,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
 def segment_ids(counts: np.ndarray) -> np.ndarray:
     """0,0,..,1,1,.. with counts[i] copies of i."""
     return np.repeat(np.arange(len(counts)), counts)
+
+
+def text_chunks(column, max_bytes: int = 4 << 20, max_rows: int = 4096):
+    """(first row, last row, bytes, bounds) over runs of rows of an Arrow
+    string column that stay below both limits (one row at least); nulls
+    read as empty."""
+    import pyarrow as pa
+
+    col = column.cast(pa.large_binary())
+    if col.null_count:
+        col = col.fill_null(b"")
+    _, offsets, raw = col.buffers()
+    n = len(col)
+    off = np.frombuffer(offsets, dtype=np.int64)[col.offset:col.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < n:
+        hi = int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1
+        hi = min(max(hi, lo + 1), lo + max_rows, n)
+        yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+        lo = hi

@@ -6,10 +6,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import hilbert, ordinal, poisson, sketch, winnow
 from .common import table
 
 
+def rating_grade():
+    """Grade 0 to 2 of a rated document: good quality and not toxic count
+    one each; a null rating has no grade."""
+    return F.col("quality") + (1 - F.col("toxic"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> ordinal.Model | None:
+    return ordinal.fit(docs, labels, rating_grade(), grades=3)
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, probability of the top grade and the decision for
+    every document."""
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of the Hilbert curve over lang, source
+    and n_chars; counts at most one apart."""
+    s = hilbert.document_shards(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op6_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return sketch.groups(table(spark, sf_dir, "documents"))
+
+
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated to source shares of n^0.7, in shuffled order."""
+    m = poisson.mix(table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "source", "copies", "replica", "shuffle_key")
+
+
+OP7_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+goal AS (SELECT sum(n) AS n, sum(pow(n::DOUBLE, 0.7)) AS w FROM counts),
+rates AS (SELECT source, pow(c.n::DOUBLE, 0.7) * goal.n::DOUBLE / goal.w / c.n AS rate FROM counts c, goal),
+pieces AS (SELECT source, greatest(ceil(rate / 500.0), 1)::INT AS pieces,
+                  rate / greatest(ceil(rate / 500.0), 1) AS rate FROM rates),
+cdf AS (
+  SELECT source, 0 AS k, rate, exp(-rate) AS term, exp(-rate) AS cum FROM pieces
+  UNION ALL
+  SELECT source, k + 1, rate, term * rate / (k + 1), cum + term * rate / (k + 1) FROM cdf
+  WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+who AS (
+  SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '?') || ':' || md5(coalesce(text, '')) AS who,
+         row_number() OVER () AS r
+  FROM documents),
+draw AS (
+  SELECT w.r, w.doc_id, w.source, w.who,
+         CAST('0x' || substr(md5('17:' || j || ':' || who), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM (SELECT who.*, p.pieces, unnest(range(1, p.pieces + 1)) AS j
+        FROM who JOIN pieces p ON who.source IS NOT DISTINCT FROM p.source) w),
+drawn AS (
+  SELECT d.r, d.doc_id, d.source, d.who, count(c.k) AS copies
+  FROM draw d LEFT JOIN cdf c ON d.source IS NOT DISTINCT FROM c.source AND c.cum <= d.u
+  GROUP BY ALL)
+SELECT doc_id, source, CAST(copies AS INT) AS copies, CAST(i AS INT) AS replica,
+       md5('order 17:' || who || ':' || i) AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS i FROM drawn)
+"""
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark decontamination of every document."""
     r = winnow.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -52,9 +118,14 @@ FROM fold f LEFT JOIN word ON word.r = f.r LEFT JOIN items ON items.r = f.r
 """
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
+    "op5_hilbert_sharding": op5_hilbert_sharding,
+    "op6_similarity_sketch": op6_similarity_sketch,
+    "op7_poisson_mix": op7_poisson_mix,
     "op8_winnowing": op8_winnowing,
 }
 
 ORACLES = {
+    "op7_poisson_mix": OP7_SQL,
     "op8_winnowing": OP8_SQL,
 }

@@ -8,8 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickgap.llm import winnow
+from clickgap.llm import hilbert, ordinal, poisson, sketch, winnow
 from clickgap.llm.common import stage, table
+from clickgap.llm.queries import quality_model
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade is below one half go."""
+    return ordinal.select(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return sketch.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +28,23 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return winnow.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources repeated to their target shares, rows in shuffled order."""
+    return poisson.mix(docs).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of the Hilbert curve over lang, source and n_chars: the
+    documents with size, text_crc32, shard, slot and curve."""
+    return hilbert.document_shards(docs)
+
+
 STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicate removal", near_dedup),
     ("benchmark decontamination", decontaminate),
+    ("source mixture", mixture),
+    ("sharding", sharding),
 ]
 
 #: a fitted classifier and sketches have no SQL form; tests use brute force
