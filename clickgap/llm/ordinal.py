@@ -7,7 +7,8 @@ From it come the expected grade and the tail probability P(grade >= k)
 that selection uses.
 
 Features: presence of each lower-cased word (letters, digits and all
-non-ASCII characters), hashed into 2^BITS places, and a few dozen shape
+non-ASCII characters) and of the leading bytes of longer words, hashed into
+2^BITS places, and a few dozen shape
 numbers (shares of capitals, digits and each punctuation sign, repeated
 words, logarithm of the length).
 
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, mix64, prepare, segment_ids, text_chunks, word_hashes
 
-BITS = 18
-SAMPLE = 8_000          # largest number of rated documents that fit the model
+BITS = 20
+PREFIXES = (4, 5, 6)    # leading bytes of longer words that are features too
+SAMPLE = 16_000         # largest number of rated documents that fit the model
 STEPS = 200             # full passes over the sample
 RATE = 0.05             # Adam step
-L2 = 2e-5               # weight penalty per document
+L2 = 2e-4               # weight penalty per document
 MIN_DOCS = 3            # sample documents that must hold a word
+SCREEN = 4.0            # standard errors by which a word's mean grade must be off
 
 _WORDY = np.zeros(256, dtype=bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
@@ -65,14 +68,24 @@ def _words(data, bounds):
     return starts, np.flatnonzero(last) + 1, np.searchsorted(bounds, starts, side="right") - 1
 
 
-def features(data, bounds):
+def features(data, bounds, used=None):
     """Of a chunk of texts: hashed words (text index, place), each once per
-    text, and the shape numbers (texts x SHAPES)."""
+    text, and the shape numbers (texts x SHAPES). ``used``: the places that
+    matter, all without it."""
     n = len(bounds) - 1
     size = np.maximum(np.diff(bounds), 1).astype(np.float64)
     starts, ends, owner = _words(data, bounds)
-    h = word_hashes(data, starts, ends, lower=True, seed=3)
-    packed = np.unique((owner.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+    places = []
+    for j, lead in enumerate((0, *PREFIXES)):
+        use = np.arange(len(starts)) if not lead else np.flatnonzero(ends - starts > lead)
+        stop = ends if not lead else starts[use] + lead
+        h = word_hashes(data, starts[use], stop, lower=True, seed=3 + j)
+        places.append((owner[use].astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+    different = np.bincount((np.unique(places[0]) >> np.uint64(BITS)).astype(np.int64), minlength=n)
+    packed = np.concatenate(places)
+    if used is not None:
+        packed = packed[used[(packed & np.uint64((1 << BITS) - 1)).astype(np.int64)]]
+    packed = np.unique(packed)
     place = (packed & np.uint64((1 << BITS) - 1)).astype(np.int64)
     text = (packed >> np.uint64(BITS)).astype(np.int64)
 
@@ -89,7 +102,7 @@ def features(data, bounds):
     letters = np.bincount(of_byte[upper | ((data >= 97) & (data <= 122))], minlength=n)
     shape[:, at] = np.bincount(of_byte[upper], minlength=n) / np.maximum(letters, 1)
     shape[:, at + 1] = np.bincount(of_byte[(data >= 48) & (data <= 57)], minlength=n) / size * 10
-    shape[:, at + 2] = 1 - np.bincount(text, minlength=n) / some
+    shape[:, at + 2] = 1 - different / some
     shape[:, at + 3] = np.log1p(words) / 5
     shape[:, at + 4] = np.bincount(owner, weights=ends - starts, minlength=n) / some / 10
     shape[:, at + 5] = np.bincount(of_byte[data == 10], minlength=n) / some
@@ -102,14 +115,22 @@ def _sigmoid(z):
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def associated(place, text, grade) -> np.ndarray:
+    """Places whose documents' mean grade is off the whole mean by SCREEN
+    standard errors or more, among those with MIN_DOCS documents."""
+    held = np.bincount(place, minlength=1 << BITS)
+    total = np.bincount(place, weights=grade[text].astype(np.float64), minlength=1 << BITS)
+    off = np.abs(total - held * grade.mean())
+    return (held >= MIN_DOCS) & (off >= SCREEN * np.sqrt(held * max(grade.var(), 1e-9)))
+
+
 def fit_arrays(text, place, shape, grade, grades: int, steps: int = STEPS, rate: float = RATE,
                l2: float = L2):
     """(word weights, shape weights, thresholds) by full-batch Adam on the
     cumulative-link likelihood. Thresholds are theta_0 and the logarithms
     of the gaps, so they stay ordered."""
     n = len(grade)
-    used = np.bincount(place, minlength=1 << BITS) >= MIN_DOCS
-    keep = used[place]
+    keep = associated(place, text, grade)[place]
     text, place = text[keep], place[keep]
     names, col = np.unique(place, return_inverse=True)
     k = grades - 1
@@ -159,8 +180,8 @@ def _fit_task(batches, grades: int):
         column = pa.concat_arrays(column.chunks)
     for lo, hi, data, bounds in text_chunks(column):
         t, p, s = features(data, bounds)
-        texts.append(t + at)
-        places.append(p)
+        texts.append((t + at).astype(np.int32))
+        places.append(p.astype(np.int32))
         shapes.append(s)
         at += hi - lo
     grade = rows.column("grade").to_numpy().astype(np.int64)
@@ -180,10 +201,11 @@ class Model:
 
     def __init__(self, word, shape, theta):
         self.word, self.shape, self.theta = word, shape, theta
+        self.used = word != 0
 
     def tails(self, data, bounds) -> np.ndarray:
         """P(grade >= 1), ..., P(grade >= top) for the texts of a chunk."""
-        text, place, shape = features(data, bounds)
+        text, place, shape = features(data, bounds, self.used)
         s = np.bincount(text, weights=self.word[place], minlength=len(bounds) - 1) + shape @ self.shape
         return 1 - _sigmoid(self.theta[None, :] - s[:, None])
 

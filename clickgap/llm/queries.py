@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, ordinal, poisson, sketch, winnow
+from . import hilbert, ordinal, poisson, rlz, sketch, vamana, winnow
 from .common import table
 
 
@@ -27,6 +27,16 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10 nearest of every embedding whose vec_id is divisible by 100."""
+    return vamana.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_relative_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages of 20 words."""
+    return rlz.parse(table(spark, sf_dir, "documents"), with_text=False).drop("factors")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of the Hilbert curve over lang, source
     and n_chars; counts at most one apart."""
@@ -119,6 +129,8 @@ FROM fold f LEFT JOIN word ON word.r = f.r LEFT JOIN items ON items.r = f.r
 
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op3_pruned_graph": op3_pruned_graph,
+    "op4_relative_parse": op4_relative_parse,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_similarity_sketch": op6_similarity_sketch,
     "op7_poisson_mix": op7_poisson_mix,
