@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, ordinal, poisson, rlz, sketch, vamana, winnow
+from . import contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, vamana, winnow, wrapper
 from .common import table
 
 
@@ -27,6 +27,12 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    out = wrapper.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10 nearest of every embedding whose vec_id is divisible by 100."""
     return vamana.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -127,14 +133,71 @@ SELECT f.doc_id, CAST(len(f.w) AS BIGINT) AS n_words,
 FROM fold f LEFT JOIN word ON word.r = f.r LEFT JOIN items ON items.r = f.r
 """
 
+#: tools of the stand-in conversations (fixed values)
+TOOLS = [
+    ("convert", "unit", "string", True),
+    ("convert", "value", "number", True),
+    ("lookup", "key", "string", True),
+    ("lookup", "strict", "boolean", False),
+    ("search", "limit", "integer", False),
+    ("search", "query", "string", True),
+]
+
+
+def tool_conversations(conversations: DataFrame) -> DataFrame:
+    """Stand-in messages: each assistant turn makes one or two calls whose
+    arguments come from its text (some against the schema, the second using
+    the first), and each later user turn is taken for the result of an
+    earlier call. Only the input schema of the operator; nothing is linked,
+    ordered or checked here."""
+    t = F.coalesce("text", F.lit(""))
+    me = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    size = F.length(t)
+    args = F.when(size % 3 == 0, F.to_json(F.struct(F.substring(t, 1, 30).alias("query"), (size % 20).alias("limit")))) \
+        .when(size % 3 == 1, F.to_json(F.struct((size / 8).alias("value"), F.substring(t, 2, 5).alias("unit")))) \
+        .otherwise(F.to_json(F.struct((size % 5 > 1).alias("strict"), F.when(size % 7 > 0, F.substring(t, 3, 9)).alias("key"))))
+    name = F.element_at(F.array(F.lit("search"), F.lit("convert"), F.lit("lookup")), (size % 3 + 1).cast("int"))
+    first = F.struct(me.alias("id"), name.alias("name"), args.alias("arguments"))
+    second = F.struct(F.concat(me, F.lit("b")).alias("id"), F.lit("search").alias("name"),
+                      F.to_json(F.struct(F.concat(F.lit("$"), me).alias("query"))).alias("arguments"))
+    calls = F.when((F.col("role") == "assistant") & (size % 2 == 0), F.array(first, second)) \
+        .when(F.col("role") == "assistant", F.array(first))
+    answer = (F.col("role") == "user") & (F.col("turn") > 0)
+    return conversations.select(
+        "conv_id", "turn", F.when(answer, F.lit("tool")).otherwise(F.col("role")).alias("role"), "text",
+        calls.alias("calls"), F.when(answer, F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"),
+                                                      F.when(size % 4 == 0, "b").otherwise(""))).alias("result_of"))
+
+
+def op9_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of all conversations, linked, ordered, checked and
+    serialised."""
+    schemas = spark.createDataFrame(TOOLS, "tool string, field string, type string, required boolean")
+    out = toolcalls.link(tool_conversations(table(spark, sf_dir, "conversations")), schemas)
+    return out.withColumn("errors", F.array_join("errors", "; "))
+
+
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that
+    bootstrapped contexts add."""
+    found = contextual.extract(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+              for k in contextual.KINDS]
+    return found.select("doc_id", *counts, F.sha2(contextual.span_text(F.col("base")), 256).alias("base_sha256"),
+                        contextual.span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
+    "op2_wrapper_induction": op2_wrapper_induction,
     "op3_pruned_graph": op3_pruned_graph,
     "op4_relative_parse": op4_relative_parse,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_similarity_sketch": op6_similarity_sketch,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_winnowing": op8_winnowing,
+    "op9_tool_links": op9_tool_links,
+    "op10_contextual_pii": op10_contextual_pii,
 }
 
 ORACLES = {
