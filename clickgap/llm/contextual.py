@@ -106,7 +106,7 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
         may = t.rlike("[0-9]") if need is None else t.contains(need)
         found = F.when(may, matches(t, _PATTERN[kind])).otherwise(none)
         df = df.withColumn(kind, found)
-        df = df.withColumn(kind, F.filter(F.col(kind), lambda s, kind=kind: valid(kind, s["value"])))
+        df = df.withColumn(kind, F.filter(F.col(kind), lambda s: valid(kind, s["value"])))
     return df
 
 
@@ -183,7 +183,7 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
     base = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
                        whole.alias("text"))
     base = base_spans(base, "text")
-    parts = [F.transform(F.col(k), lambda s, i=i, k=k: F.struct(
+    parts = [F.transform(F.col(k), lambda s: F.struct(
         F.lit(i).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"),
         s["value"].alias("value"))) for i, k in enumerate(KINDS)]
     base = base.select("id", "row_key", F.concat(*parts).alias("base"))

@@ -97,7 +97,7 @@ def curve_cells(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> D
         if at:
             points = F.array(*[F.lit(v) for v in at])
             below = F.when(n.isNull(), F.lit(0)).otherwise(
-                F.size(F.filter(points, lambda p, n=n: p < n)))
+                F.size(F.filter(points, lambda p: p < n)))
         axes.append(below.cast("int"))
     name, = fresh(df, "axes")
     return hilbert_index(df.withColumn(name, F.array(*axes)), name, out, len(dims), bits)

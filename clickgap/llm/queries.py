@@ -181,7 +181,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that
     bootstrapped contexts add."""
     found = contextual.extract(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
               for k in contextual.KINDS]
     return found.select("doc_id", *counts, F.sha2(contextual.span_text(F.col("base")), 256).alias("base_sha256"),
                         contextual.span_text(F.col("spans")).alias("spans"))
