@@ -171,9 +171,10 @@ def _fit_task(batches, grades: int):
     import pandas as pd
     import pyarrow as pa
 
-    rows = pa.Table.from_batches(list(batches)).sort_by([("tie", "ascending"), ("grade", "ascending")])
-    if rows.num_rows == 0:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    rows = pa.Table.from_batches(batches).sort_by([("tie", "ascending"), ("grade", "ascending")])
     texts, places, shapes, at = [], [], [], 0
     column = rows.column("text").combine_chunks()
     if isinstance(column, pa.ChunkedArray):

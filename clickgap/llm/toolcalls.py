@@ -6,7 +6,7 @@ call id). Calls are ordered topologically: an argument "$<id>" uses the
 result of that call, so the call stands one level above the highest it
 uses. Arguments are parsed and checked against the tool's schema, and each
 exchange is serialised as canonical JSON (keys sorted at every depth, no
-spaces).
+spaces, whole numbers without fraction).
 
 Scale: every exchange is keyed by (conversation, call id), never by the
 conversation alone, and the output is one row per call or stray result

@@ -36,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+import sys
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -168,6 +169,15 @@ def nodes(root: Node) -> list[Node]:
     return out
 
 
+def _depth(root: Node) -> int:
+    deepest, todo = 0, [(root, 1)]
+    while todo:
+        x, d = todo.pop()
+        deepest = max(deepest, d)
+        todo.extend((c, d + 1) for c in x.children)
+    return deepest
+
+
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching of two trees with equal roots: the pairs of the
     largest mapping that keeps order and parents."""
@@ -200,6 +210,9 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
             got = weight[key] = 1 + (table(x, y)[1] if x.children and y.children else 0)
         return got
 
+    deep = min(_depth(a), _depth(b))        # value and table call each other once a level
+    if 3 * deep + 500 > sys.getrecursionlimit():
+        sys.setrecursionlimit(3 * deep + 500)
     pairs, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
