@@ -16,13 +16,19 @@ Groups are found without writing all pairs of a group:
 
 1. documents with equal sets are one class (pre-aggregated before any
    exchange), named by its smallest id;
-2. each bucket links its members to its smallest class, confirmed on the
-   whole shingle sets;
-3. where a bucket still holds several components, members outside its
-   largest component are confirmed against other spread-out leaders of
-   the largest one, some rounds of them;
-4. what is left outside is confirmed against every member of the other
-   components of its buckets, so nothing depends on which leader was drawn.
+2. each bucket links its members to its smallest class, its leader L,
+   confirmed on the whole shingle sets;
+3. two members m, x of a bucket may be linked though m is not linked to L.
+   Write D for the symmetric difference with L. Similarity t means
+   |m ^ x| <= r (|m| + |x|), r = (1 - t) / (1 + t), and m not linked to L
+   means |D_m| > r (|m| + |L|); so D_m and D_x share more than
+   (|D_x| + r (|L| - |x|)) / 2 elements, and at least |D| - |own| (1 - t) / t
+   of either. By the prefix principle such a pair meets in the first few
+   elements of both differences under any fixed order. The order puts
+   elements outside L first and frequent ones last, so a large group of
+   near copies meets only where copies share changes.
+   Pairs of different components that meet are confirmed; this step is
+   exact for all pairs that share a bucket.
 
 Components come from label propagation with pointer jumping, staged each
 round; no links or labels are collected.
@@ -50,7 +56,8 @@ from .common import (fresh, mix64, prepare, segment_ids, stage, text_chunks,
 SHINGLE = 2
 THRESHOLD = (80, 100)       # intersection / union, as whole numbers
 BANDS, ROWS = 48, 5
-LEADER_ROUNDS = 3
+BROADCAST_PAIRS = 1_000_000     # largest table of id pairs that is broadcast
+ORDER_SAMPLE = 2_000        # texts whose frequent shingles come last in the order
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW48 = np.uint64((1 << 48) - 1)
 _LOW52 = np.uint64((1 << 52) - 1)
@@ -156,36 +163,118 @@ def shingle_set(text: str | None, size: int) -> set:
     return set(zip(*[w[i:] for i in range(size)]))
 
 
+def _agrees(a: set, b: set, threshold) -> bool:
+    num, den = threshold
+    both = len(a & b)
+    return both > 0 and den * both >= num * (len(a) + len(b) - both)
+
+
+def _pair_sets(batch, size: int, recent: dict):
+    """Shingle sets of the two texts of each row; leaders repeat."""
+    for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+        b = recent.get(y)
+        if b is None:
+            if len(recent) >= 16:
+                recent.clear()
+            b = recent[y] = shingle_set(y, size)
+        yield shingle_set(x, size), b
+
+
 def _linked(batches, size: int, threshold):
     import pyarrow as pa
 
-    num, den = threshold
     recent: dict = {}
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-            a = shingle_set(x, size)
-            b = recent.get(y)
-            if b is None:
-                if len(recent) >= 16:
-                    recent.clear()
-                b = recent[y] = shingle_set(y, size)
-            both = len(a & b)
-            ok.append(both > 0 and den * both >= num * (len(a) + len(b) - both))
-        keep = pa.array(ok, pa.bool_())
+        keep = pa.array([_agrees(a, b, threshold) for a, b in _pair_sets(batch, size, recent)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)],
                                          names=["a", "b"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold. Texts of
-    involved rows only travel; hot ids split as skewed joins."""
+def _name(element: tuple) -> int:
+    return int.from_bytes(hashlib.blake2b(b"\x00".join(element), digest_size=8).digest(), "little", signed=True)
+
+
+def _element_batches(batches, size: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([_name(e) for e in shingle_set(x, size)], pa.int64())],
+                                             names=["element"])
+
+
+def common_elements(pairs: DataFrame, texts: DataFrame, size: int) -> dict:
+    """Document counts of the frequent shingles of ORDER_SAMPLE involved
+    texts (those with the smallest id hashes). Only the order of elements
+    uses it, which is right whatever the counts are."""
+    nodes = pairs.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(ORDER_SAMPLE)
+    rows = texts.join(F.broadcast(nodes), "id").select("text") \
+        .mapInArrow(lambda it: _element_batches(it, size), "element long") \
+        .groupBy("element").agg(F.count("*").alias("times")).where(f"times >= {ORDER_SAMPLE // 200}")
+    return {r["element"]: r["times"] for r in rows.collect()}
+
+
+def difference_prefix(a: set, lead: set, linked: bool, threshold, common: dict) -> tuple[list, int]:
+    """(elements, n): the first elements of the difference of ``a`` and its
+    leader in the fixed order; a linked member needs the first n as partner
+    of an unlinked one, an unlinked member all of them."""
+    num, den = threshold
+    d = a ^ lead
+    # floor of (|D| + r (|L| - |a|)) / 2, plus one: elements shared at least
+    shared = (len(d) * (den + num) + (den - num) * (len(lead) - len(a))) // (2 * (den + num)) + 1
+    reach = len(a) * (den - num) // num + 1
+    n = max(0, min(len(d) - shared + 1, reach))
+    most = n if linked else min(max(reach, n), len(d))
+    if not most:
+        return [], n
+    ranked = sorted((e in lead, common.get(h, 0), h) for e, h in ((e, _name(e)) for e in d))
+    return [h for _, _, h in ranked[:most]], n
+
+
+def _star_batches(batches, size: int, threshold, common: dict):
+    import pyarrow as pa
+
+    recent: dict = {}
+    for batch in batches:
+        linked, first, counts, na = [], [], [], []
+        for a, b in _pair_sets(batch, size, recent):
+            ok = _agrees(a, b, threshold)
+            elements, n = difference_prefix(a, b, ok, threshold, common)
+            linked.append(ok)
+            first.append(elements)
+            counts.append(n)
+            na.append(len(a))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(na, pa.int64()),
+             pa.array(first, pa.list_(pa.int64())), pa.array(counts, pa.int32())],
+            names=["a", "b", "linked", "n", "first", "as_partner"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts. Only texts of involved rows travel, and
+    ids are broadcast while the pairs are at most BROADCAST_PAIRS; beyond,
+    and for the texts themselves, joins shuffle and hot ids split."""
+    small = pairs.count() <= BROADCAST_PAIRS
+    sent = F.broadcast if small else (lambda df: df)
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stage(texts.join(involved, "id", "left_semi"))
-    full = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b") \
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(
-        lambda it: _linked(it, size, threshold), "a long, b long")
+    texts = stage(texts.join(sent(involved), "id", "left_semi"))
+    with_b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).join(sent(pairs), "b")
+    full = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    return full.select("a", "b", "text_a", "text_b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
+    return _with_texts(pairs, texts).mapInArrow(lambda it: _linked(it, size, threshold), "a long, b long")
+
+
+def stars(pairs: DataFrame, texts: DataFrame, size: int, threshold) -> DataFrame:
+    """Pairs (member a, leader b) with ``linked``, the member's set size
+    ``n`` and its difference prefix (``first``, ``as_partner``)."""
+    sent = pairs.sparkSession.sparkContext.broadcast(common_elements(pairs, texts, size))
+    return _with_texts(pairs, texts).mapInArrow(
+        lambda it: _star_batches(it, size, threshold, sent.value),
+        "a long, b long, linked boolean, n long, first array<long>, as_partner int")
 
 
 # --- components -----------------------------------------------------------------------
@@ -221,17 +310,6 @@ def _with_label(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _unresolved(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, with ``label`` and
-    the bucket's largest component as ``main``."""
-    seen = _with_label(members, labels)
-    per = seen.groupBy("bucket", "label").agg(F.count("*").alias("rows"))
-    main = per.groupBy("bucket").agg(
-        F.max(F.struct("rows", "label")).alias("m"), F.count("*").alias("parts")) \
-        .where("parts > 1").select("bucket", F.col("m.label").alias("main"))
-    return stage(seen.join(stage(main), "bucket"))
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
            threshold=THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_shingles``, ``component_id``
@@ -241,41 +319,36 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     found = stage(sketches(docs, id_col, text_col, size, bands, rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     classes = stage(found.where("id IS NOT NULL AND n > 0").groupBy("set_key")
-                    .agg(F.min("id").alias("node"), F.first("n").alias("n"),
-                         F.first("bands").alias("bands")))
-    banded = classes.select("node", "n", F.explode("bands").alias("bucket"))
+                    .agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
     shared = stage(banded.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("top"))
                    .where("lead <> top").select("bucket", "lead"))
-    members = stage(banded.join(shared, "bucket"))
+    members = banded.join(shared, "bucket")
 
     pairs = stage(members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
                   .distinct())
-    links = stage(confirmed(pairs, texts, size, threshold))
+    star = stage(stars(pairs, texts, size, threshold))
+    links = star.where("linked").select("a", "b")
     labels = components(links)
-    members = members.select("bucket", "node", "n")
-    for turn in range(LEADER_ROUNDS):
-        left = _unresolved(members, labels)
-        # a leader of the main component, drawn anew for each bucket and turn
-        lead = left.where("label = main").groupBy("bucket").agg(
-            F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)), F.col("node"), F.col("n"))).alias("m")) \
-            .select("bucket", F.col("m.node").alias("lead"), F.col("m.n").alias("lead_n"))
-        tried = left.where("label <> main").join(lead, "bucket") \
-            .where(f"{den} * least(n, lead_n) >= {num} * greatest(n, lead_n)") \
-            .select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-        pairs = stage(tried.join(pairs, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        links = links.union(stage(confirmed(pairs, texts, size, threshold)))
-        labels = components(links)
 
-    left = _unresolved(members, labels)
-    x = left.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"),
-                                           F.col("label").alias("la"))
-    y = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"),
-                    F.col("label").alias("lb"), "main")
-    rest = x.join(y, "bucket").where(
-        f"la <> lb AND (lb = main OR a < b) AND {den} * least(na, nb) >= {num} * greatest(na, nb)")
-    rest = stage(rest.select("a", "b").distinct())
+    of_node = _with_label(star.select(F.col("a").alias("node"), F.col("b").alias("lead"), "linked", "n", "first",
+                                      "as_partner"), labels)
+    # a pair that shares several stars is decided by any one of them: if it is
+    # the largest star of both members, only there
+    sizes = star.groupBy(F.col("b").alias("lead")).agg(F.count("*").alias("members"))
+    of_node = stage(of_node.join(stage(sizes), "lead"))
+    main = of_node.groupBy("node").agg(F.max(F.struct("members", "lead"))["lead"].alias("main"))
+    of_node = of_node.join(main, "node")
+    apart = of_node.where("NOT linked").select(
+        "lead", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"),
+        F.col("main").alias("ma"), F.explode("first").alias("element"))
+    partner = of_node.select(
+        "lead", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"),
+        F.col("main").alias("mb"), F.explode(F.slice("first", F.lit(1), F.col("as_partner"))).alias("element"))
+    rest = apart.join(partner, ["lead", "element"]).where(
+        f"la <> lb AND (ma <> mb OR lead = ma) AND {den} * least(na, nb) >= {num} * greatest(na, nb)") \
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = stage(rest)
     if not rest.isEmpty():
         links = links.union(stage(confirmed(rest, texts, size, threshold)))
         labels = components(links)
