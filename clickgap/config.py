@@ -30,8 +30,7 @@ PRIORITY_QUANTILES = (0.70, 0.90)
 # Priority score weights on log1p(clicks), log1p(opportunity), log1p(impressions).
 SCORE_WEIGHTS = (1.0, 1.2, 0.4)
 
-# Segments with more rows than this use k-means instead of average linkage.
-CLUSTERING_THRESHOLD_N = 10000
+# k-means (when chosen): clusters = max(5, rows / 10).
 KMEANS_MIN_K = 5
 KMEANS_ROWS_PER_CLUSTER = 10
 KMEANS_SEED = 42
@@ -162,14 +161,11 @@ MD_MAX_CELL = 80
 # Scale guards (ours, not part of the matched behaviour)
 # ---------------------------------------------------------------------------
 
-# k-means with k = n / 10 costs O(n * k) per iteration: above this many rows
-# a segment takes the exact component path instead (auto mode).
-KMEANS_MAX_ROWS = 100_000
-# Bytes allowed for the dense k-means centres (k x features x 8), which are
-# broadcast every iteration; the hashed feature space shrinks to fit.
-KMEANS_CENTRE_BYTES = 1 << 30
-KMEANS_MAX_FEATURES = 1 << 12
-KMEANS_MIN_FEATURES = 1 << 6
+# Hashed features of the k-means vectors, at any size.
+KMEANS_FEATURES = 1 << 12
+# Components of at most this many texts are merged as arrays inside a task
+# (three arrays of n x n doubles); larger ones by the same rounds on DataFrames.
+DENSE_TEXTS = 2000
 
 # ---------------------------------------------------------------------------
 # Run configuration
@@ -190,17 +186,15 @@ class Config:
     intent_keywords: dict[str, list[str]] | None = field(
         default_factory=lambda: {k: list(v) for k, v in DEFAULT_INTENT_KEYWORDS.items()})
     threshold: float = LINKAGE_THRESHOLD
-    # "auto": linkage up to CLUSTERING_THRESHOLD_N rows per segment, k-means above
-    # (up to KMEANS_MAX_ROWS; larger segments take the exact component path);
-    # "linkage": exact linkage at any size; "kmeans": k-means everywhere.
-    method: str = "auto"
+    # "linkage": exact average linkage; "kmeans": k-means. No size picks it.
+    method: str = "linkage"
     merge_plurals: bool = False
     client_name: str = "Client"
-    # Linkage groups above this size are refused (dense n x n kernel memory bound).
-    max_component: int = CLUSTERING_THRESHOLD_N
+    # Where a component's merge rounds run (see DENSE_TEXTS); not what they return.
+    max_component: int = DENSE_TEXTS
 
     def __post_init__(self):
-        if self.method not in ("auto", "linkage", "kmeans"):
+        if self.method not in ("linkage", "kmeans"):
             raise ValueError(f"unknown clustering method {self.method!r}")
         if not 0.0 < self.threshold <= 1.0:
             raise ValueError("threshold must be in (0, 1]")

@@ -1,15 +1,6 @@
-from clickgap.config import KMEANS_CENTRE_BYTES, KMEANS_MAX_FEATURES, KMEANS_MIN_FEATURES
-from clickgap.operators.cluster import kmeans_features
 from clickgap.session import checkpoint_dir, materialize
 
 
-def test_kmeans_centres_stay_within_budget():
-    for k in (5, 1_000, 10_000, 100_000, 1_000_000):
-        f = kmeans_features(k)
-        assert KMEANS_MIN_FEATURES <= f <= KMEANS_MAX_FEATURES
-        assert k * f * 8 <= KMEANS_CENTRE_BYTES or f == KMEANS_MIN_FEATURES
-
-
 def test_materialize_uses_the_session_checkpoint_dir(spark):
     d = checkpoint_dir(spark)
     assert d and d == spark.sparkContext.getCheckpointDir()
