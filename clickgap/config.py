@@ -85,6 +85,9 @@ UNKNOWN_EFFORT_LABEL = "Unknown"
 # URL path tokens that are dropped.
 URL_STOP_TOKENS = ("amp", "utm", "http", "https", "www", "com")
 
+# Characters of an unparsable URL that stand for its path.
+UNPARSED_CHARS = 60
+
 # Irregular singular/plural pairs.
 IRREGULAR_PLURALS = {
     "child": "children",

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from clickgap.config import URL_STOP_TOKENS
+from clickgap.config import UNPARSED_CHARS, URL_STOP_TOKENS
 
 # sklearn-style word tokens: two or more word characters.
 WORD_TOKEN = r"\b\w\w+\b"
 # scheme, authority, then the path up to query or fragment.
+_URL_AUTHORITY = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 _URL_PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 
@@ -53,24 +54,35 @@ def word_tokens(c: Column) -> Column:
 
 
 def url_path(c: Column) -> Column:
-    """Path component of a URL; ``;params`` of the last segment cut off."""
-    u = F.regexp_replace(c.cast("string"), r"[\t\r\n]", "")
+    """Path component of a URL; ``;params`` of the last segment cut off. A
+    missing URL reads "nan"; a URL whose authority has an unbalanced
+    bracket cannot be parsed and stands for its path with its first
+    UNPARSED_CHARS characters."""
+    whole = F.coalesce(c.cast("string"), F.lit("nan"))
+    u = F.regexp_replace(whole, r"[\t\r\n]", "")
     u = F.regexp_replace(u, r"^[\x00-\x20]+", "")
     path = F.regexp_extract(u, _URL_PATH, 1)
     # params start at the first ';' after the last '/'
-    return F.regexp_replace(path, r";[^/]*$", "")
+    path = F.regexp_replace(path, r";[^/]*$", "")
+    authority = F.regexp_extract(u, _URL_AUTHORITY, 1)
+    broken = authority.contains("[") != authority.contains("]")
+    return F.when(broken, F.left(whole, F.lit(UNPARSED_CHARS))).otherwise(path)
+
+
+def _outer_path(c: Column) -> Column:
+    return F.regexp_replace(url_path(c), r"^/+|/+$", "")
 
 
 def url_slug(c: Column) -> Column:
     """Path without outer slashes; empty -> "home"."""
-    s = F.regexp_replace(url_path(c), r"^/+|/+$", "")
+    s = _outer_path(c)
     return F.when(s == "", F.lit("home")).otherwise(s)
 
 
 def url_tokens(c: Column) -> Column:
     """Path split on / - _, lower-cased, non [a-z0-9] removed, stop tokens and
     empties dropped; an empty path gives ["home"]."""
-    path = F.regexp_replace(url_path(c), r"^/+|/+$", "")
+    path = _outer_path(c)
     parts = F.split(path, r"[/\-_]+")
     cleaned = F.transform(parts, lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", ""))
     stop = F.array(*[F.lit(s) for s in URL_STOP_TOKENS])

@@ -20,16 +20,23 @@ from clickgap.session import materialize
 CLUSTER_KEYS = ["cluster_id", "topic_label", "segment", "brand_label", "intent"]
 
 
+def top_rows(q: DataFrame, cols: list[str], n: int = TOP_QUERIES_PER_CLUSTER) -> DataFrame:
+    """(cluster_id, cols..., rank): the n highest-impression rows (input
+    order on ties) of each cluster."""
+    w = Window.partitionBy("cluster_id").orderBy(F.col("impressions").desc(), F.col("row_id").asc())
+    names = list(dict.fromkeys(["cluster_id", *cols]))
+    return (q.select(*dict.fromkeys([*names, "impressions", "row_id"]))
+             .withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
+             .select(*names, "rank"))
+
+
 def top_queries(q: DataFrame, text_col: str, sep: str, out: str,
                 n: int = TOP_QUERIES_PER_CLUSTER) -> DataFrame:
-    """(cluster_id, out): the n highest-impression rows (input order on ties)
-    of each cluster, ``text_col`` joined by ``sep`` in that order."""
-    w = Window.partitionBy("cluster_id").orderBy(F.col("impressions").desc(), F.col("row_id").asc())
-    top = (q.select("cluster_id", "impressions", "row_id", F.coalesce(F.col(text_col).cast("string"),
-                                                                     F.lit("nan")).alias("_t"))
-            .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n))
-    return (top.groupBy("cluster_id")
-               .agg(F.sort_array(F.collect_list(F.struct("_r", "_t"))).alias("_l"))
+    """(cluster_id, out): ``text_col`` of the cluster's ``top_rows``, joined
+    by ``sep`` in rank order."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))
+    return (top_rows(q, [text_col], n).groupBy("cluster_id")
+               .agg(F.sort_array(F.collect_list(F.struct("rank", text.alias("_t")))).alias("_l"))
                .select("cluster_id", F.array_join(F.col("_l._t"), sep).alias(out)))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from clickgap.config import (IRREGULAR_PLURALS, LABEL_MIN_COUNT, LABEL_SHARE,
                              LABEL_TOP_GRAMS)
 from clickgap.functions.text import ngrams_indexed, split_words
+from clickgap.session import materialize
 
 
 def topic_labels(q: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def merge_plural_clusters(q: DataFrame) -> DataFrame:
     forms = words.select("intent", "cluster_id", F.explode(F.array_distinct(F.filter(F.array(
         F.concat(w, F.lit("s")), F.concat(w, F.lit("es")),
         F.when(w.endswith("y"), _y_to_ies(w)), irregular[w]), lambda x: x.isNotNull()))).alias("key"))
-    words, forms = words.persist(), forms.persist()
+    words, forms = materialize(words), materialize(forms)
     best_w, best_p = _two_smallest(words), _two_smallest(forms)
 
     def partner(side: DataFrame, other: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ only k rows per partition move).
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,20 +134,26 @@ def effort_counts(effort: DataFrame) -> DataFrame:
                  .orderBy("effort_level")
 
 
-def brief_json(cluster: DataFrame, page_all: DataFrame, client: str, brand_terms) -> DataFrame:
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def brief_json(cluster: DataFrame, page_all: DataFrame, client: str, brand_terms,
+               generated: datetime | None = None) -> DataFrame:
     """One row, one JSON document: meta + top 20 pages + top 20 clusters
-    (40 records folded in one aggregation)."""
+    (40 records folded in one aggregation). ``generated``: the time it
+    states, in UTC (now, unless given)."""
+    stamp = (generated or datetime.now(timezone.utc)).astimezone(timezone.utc).isoformat(timespec="microseconds")
     pages = top_pages(page_all).select(
         F.lit(0).alias("kind"), (-F.col("opportunity_clicks")).alias("k"), F.col("page").alias("t1"),
-        F.lit("").alias("t2"), F.to_json(F.struct("slug", "opportunity_clicks", "avg_position")).alias("j"))
+        F.lit("").alias("t2"), F.to_json(F.struct("slug", "opportunity_clicks", "avg_position"), _NULLS).alias("j"))
     clusters = (cluster.orderBy(F.col("opportunity_clicks").desc(), "cluster_id", "topic_label").limit(BRIEF_TOP_N)
                 .select(F.lit(1).alias("kind"), (-F.col("opportunity_clicks")).alias("k"),
                         F.col("cluster_id").cast("string").alias("t1"), F.col("topic_label").alias("t2"),
                         F.to_json(F.struct("topic_label", "segment", "opportunity_clicks", "recommended_action",
-                                           "example_queries")).alias("j")))
+                                           "example_queries"), _NULLS).alias("j")))
     meta = F.to_json(F.struct(
         F.lit(client).alias("client"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated"),
+        F.lit(stamp).alias("generated"),
         F.array(*[F.lit(t) for t in brand_terms]).cast("array<string>").alias("brand_terms")))
     items = pages.unionByName(clusters).agg(F.sort_array(F.collect_list(F.struct("kind", "k", "t1", "t2", "j"))).alias("l"))
 

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from clickgap.functions.text import ngrams, word_tokens
 
+BROADCAST_STRATA = 100_000      # strata whose counts are broadcast
+
 
 def doc_terms(docs: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
     """(keep..., key, term, tf): every 1-, 2- and 3-gram occurrence counted."""
@@ -36,8 +38,8 @@ def term_table(docs: DataFrame, key: str, text: str, strata: list[str],
     tf = doc_terms(base, key, text, strata + ["_m"])
     n_docs = base.groupBy(*strata).agg(F.sum("_m").alias("n_docs"))
     dfc = tf.groupBy(*strata, "term").agg(F.sum("_m").alias("df"))
-    if strata:
-        terms = dfc.join(n_docs, strata)
+    if strata:      # one row per stratum; a hot stratum is not a join key then
+        terms = dfc.join(F.broadcast(n_docs) if n_docs.count() <= BROADCAST_STRATA else n_docs, strata)
     else:   # one stratum: n_docs is a single scalar row
         n_total = n_docs.first()["n_docs"] or 0
         terms = dfc.withColumn("n_docs", F.lit(n_total).cast("long"))

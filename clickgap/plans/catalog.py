@@ -355,11 +355,8 @@ def cluster_band(spark, sf):
 @register("top5_queries_per_cluster", W(O.CLUSTER_CTES, """
 SELECT cluster_id, row_id, rn AS rank FROM ranked5 WHERE rn <= 5"""))
 def top5_queries_per_cluster(spark, sf):
-    from pyspark.sql.window import Window
-    q = surrogate(spark, sf)
-    w = Window.partitionBy("cluster_id").orderBy(F.col("impressions").desc(), F.col("row_id").asc())
-    return q.select("cluster_id", "row_id", F.row_number().over(w).cast("long").alias("rank")) \
-            .filter(F.col("rank") <= 5)
+    from clickgap.operators import aggregate
+    return aggregate.top_rows(surrogate(spark, sf), ["row_id"])
 
 
 @register("example_queries", W(O.CLUSTER_CTES, """

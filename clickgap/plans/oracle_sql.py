@@ -318,7 +318,7 @@ kw AS (SELECT qf.query, qf.cluster_id, tl.topic_label, qf.segment,
 DOC_LINES_SQL = """
 SELECT line AS query, CAST(NULL AS BIGINT) AS clicks, CAST(NULL AS BIGINT) AS impressions,
        CAST(NULL AS VARCHAR) AS ctr_raw, CAST(NULL AS DOUBLE) AS position,
-       doc_id * 100000 + line_no AS row_id
+       doc_id * 2147483648 + line_no AS row_id
 FROM (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
       FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))"""
 

@@ -26,7 +26,7 @@ def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, Data
     if cfg.exclusion_terms and q.isEmpty():
         raise ValueError("All queries were filtered out by exclusion terms. "
                          "Please adjust your exclusion terms.")
-    p = enrich.preprocess_pages(page_rows).persist()
+    p = materialize(enrich.preprocess_pages(page_rows))
     q = materialize(cluster.cluster_queries(q, cfg))
     q = label.label_clusters(q)
     if cfg.merge_plurals:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,16 +59,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` to the session's checkpoint directory and continue from
-    the written copy.
+    """Write ``df`` as Parquet below the session's checkpoint directory and
+    continue from the written copy.
 
     Used at stage boundaries: the plan below becomes a scan of the written
-    files, so later plans stay small (cached plans otherwise nest inside
-    each other and every adaptive re-plan renders all of them), and the
-    stage is not recomputed after an executor loss.
+    files with column pruning, pushed-down filters and file statistics, and
+    the stage is not recomputed after an executor loss. The files go when
+    the application ends.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()

@@ -95,7 +95,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("bigint").alias("impressions"),
         F.lit(None).cast("string").alias("ctr_raw"),
         F.lit(None).cast("double").alias("position"),
-        (F.col("doc_id") * 100000 + F.col("line_no")).alias("row_id"))
+        (F.col("doc_id") * (1 << 31) + F.col("line_no")).alias("row_id"))
 
 
 def surrogate_clusters(q: DataFrame) -> DataFrame:

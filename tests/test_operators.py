@@ -195,3 +195,14 @@ def test_brief_number_format_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     for d in (0, 1):
         assert [r[0] for r in df.select(_fixed("x", d)).collect()] == [f"{v:.{d}f}" for v in vals]
+
+
+def test_unparsable_and_missing_urls(spark):
+    from clickgap.functions.text import url_slug, url_tokens
+    urls = ["http://[bad/path-one", None, "https://[::1]/a-b", "http://x.org/" + "y" * 80]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    got = df.select(url_slug(F.col("u")).alias("s"), url_tokens(F.col("u")).alias("t")).collect()
+    assert got[0].s == "http://[bad/path-one" and got[0].t == ["bad", "path", "one"]
+    assert got[1].s == "nan" and got[1].t == ["nan"]
+    assert got[2].s == "a-b" and got[2].t == ["a", "b"]
+    assert got[3].s == "y" * 80

@@ -1,20 +1,46 @@
 import os
 import tempfile
 
+import pytest
+
 from clickgap.config import REQUIRED_PAGE_FIELDS, REQUIRED_QUERY_FIELDS
 from clickgap.sources import exports, keywords, sinks
 
 
 def test_header_mapping_rules():
-    m = exports.detect_column_mapping(["Top queries", "Klikken", "Weergaven", "CTR", "Positie"],
+    m = exports.choose_headers(["Top queries", "Klikken", "Weergaven", "CTR", "Positie"],
                                       REQUIRED_QUERY_FIELDS)
     assert m == {"query": "Top queries", "clicks": "Klikken", "impressions": "Weergaven",
                  "ctr": "CTR", "position": "Positie"}
     # partial match of an earlier pattern beats an exact match of a later one
-    m = exports.detect_column_mapping(["page url", "url"], {"page": ["page", "url"]})
+    m = exports.choose_headers(["page url", "url"], {"page": ["page", "url"]})
     assert m["page"] == "page url"
-    m = exports.detect_column_mapping(["x"], REQUIRED_PAGE_FIELDS)
-    assert exports.validate_column_mapping(m, list(REQUIRED_PAGE_FIELDS))[0] is False
+    assert exports.choose_headers(["Query", "QUERY "], {"query": ["query"], "x": ["zz"]}) == {"query": "QUERY ", "x": None}
+    assert exports.choose_headers(["a", "b"], {"query": ["a"]}, {"query": "b"})["query"] == "b"
+
+
+def test_missing_headers_raise(spark):
+    df = spark.createDataFrame([("x",)], "x string")
+    with pytest.raises(ValueError, match="no header"):
+        exports.rename_fields(df, exports.choose_headers(["x"], REQUIRED_PAGE_FIELDS), exports.PAGE_TARGETS, "pages")
+    with pytest.raises(ValueError, match="nope"):
+        exports.rename_fields(df, dict.fromkeys(exports.PAGE_TARGETS, "nope"), exports.PAGE_TARGETS, "pages")
+
+
+def test_extra_columns_manual_mapping_and_file_order(spark):
+    d = tempfile.mkdtemp(prefix="cg-exports-")
+    head = "Country,Query,Hits,Impressions,CTR,Position,Clicks\n"
+    for name, rows in (("a", 1), ("b", 500), ("c", 20)):
+        with open(os.path.join(d, f"{name}.csv"), "w") as f:
+            f.write(head + "".join(f"nl,{name}{i},{i},1,,,{i + 7}\n" for i in range(rows)))
+    with open(os.path.join(d, "d.csv"), "w") as f:
+        f.write("Query,Hits,Impressions,CTR,Position,Device\n\"two\nlines\",4,1,,,mobile\n")
+    df = exports.read_exports(spark, d, mapping={"clicks": "Hits"})
+    rows = df.orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(522))
+    assert [r["query"] for r in rows] == ["a0"] + [f"b{i}" for i in range(500)] + [f"c{i}" for i in range(20)] + ["two\nlines"]
+    assert rows[3]["clicks"] == "2" and rows[3]["Country"] == "nl" and rows[3]["Clicks_source"] == "9"
+    assert rows[-1]["Device"] == "mobile" and rows[-1]["Country"] is None
 
 
 def test_read_exports_two_languages(spark):
