@@ -264,9 +264,10 @@ def similarity_components(spark, sf):
                  .select("rep", F.coalesce("component", "rep").alias("component")))
 
 
-@register("segment_clusters")
+@register("segment_clusters", W(O.LINK_CTES, """
+SELECT row_id, segment, cluster_id FROM clustered"""))
 def segment_clusters(spark, sf):
-    """Exact stratified average linkage (no SQL form; brute-force tested)."""
+    """Exact stratified average linkage."""
     from clickgap.operators import cluster
     return cluster.cluster_queries(enriched(spark, sf), X.FIXTURE_CONFIG).select(
         "row_id", "segment", "cluster_id")
@@ -282,7 +283,9 @@ def kmeans_clusters(spark, sf):
     return cluster.cluster_queries(enriched(spark, sf), cfg).select("row_id", "segment", "cluster_id")
 
 
-@register("embedding_clusters")
+@register("embedding_clusters", W(O.EMBEDDING_LINK_CTES, """
+SELECT e.vec_id, e.label, coalesce(l.c, e.vec_id) AS cluster_id
+FROM embeddings e LEFT JOIN linked l ON l.rep = e.vec_id"""))
 def embedding_clusters(spark, sf):
     """Semantic path on the embeddings table, label as the segment."""
     from clickgap.operators import cluster
@@ -566,23 +569,51 @@ def leaderboard(spark, sf):
     return t.select("slug", "actual_clicks", r6("opportunity_clicks").alias("opportunity_clicks"))
 
 
-@register("brief_json")
+@register("brief_json", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT '{"meta":{"client":"Client","generated":"2026-01-02T03:04:05.000006+00:00","brand_terms":["acme"]},"top_pages":['
+       || (SELECT string_agg(CAST(to_json({'slug': slug, 'opportunity_clicks': round(opportunity_clicks, 6),
+                                           'avg_position': round(avg_position, 6)}) AS VARCHAR), ','
+                             ORDER BY opportunity_clicks DESC, page)
+           FROM (SELECT * FROM pall ORDER BY opportunity_clicks DESC, page LIMIT 20))
+       || '],"top_clusters":['
+       || (SELECT string_agg(CAST(to_json({'topic_label': topic_label, 'segment': segment,
+                                           'opportunity_clicks': round(opportunity_clicks, 6),
+                                           'recommended_action': recommended_action,
+                                           'example_queries': example_queries}) AS VARCHAR), ','
+                             ORDER BY opportunity_clicks DESC, cluster_id, topic_label)
+           FROM (SELECT * FROM cf ORDER BY opportunity_clicks DESC, cluster_id, topic_label LIMIT 20))
+       || ']}' AS brief"""))
 def brief_json(spark, sf):
-    """JSON brief (has a generation timestamp, so rows-only)."""
+    """JSON brief at a fixed time, amounts to 6 places."""
+    from datetime import datetime, timezone
+
     from clickgap.operators import pages, report
     _, cf, p = surrogate_mapped(spark, sf)
     cfg = X.FIXTURE_CONFIG
-    return report.brief_json(cf, pages.page_opportunity_all(cf, p), cfg.client_name, list(cfg.brand_terms))
-
-
-@register("brief_markdown")
+    pall = pages.page_opportunity_all(cf, p)
+    six = {c: r6(c) for c in ("opportunity_clicks", "avg_position")}
+    return report.brief_json(cf.withColumns(six), pall.withColumns(six), cfg.client_name, list(cfg.brand_terms),
+                             datetime(2026, 1, 2, 3, 4, 5, 6, timezone.utc))
+
+
+@register("brief_markdown", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT '# SEO Brief: Client' || chr(10) || chr(10) || '## Top Opportunities' || chr(10)
+       || '| Page | Opp Clicks | Pos |' || chr(10) || '| --- | --- | --- |' || chr(10)
+       || string_agg('| ' || CASE WHEN length(slug) <= 80 THEN slug ELSE left(slug, 79) || '…' END || ' | '
+                     || coalesce(format('{:.0f}', opportunity_clicks), 'nan') || ' | '
+                     || coalesce(format('{:.1f}', avg_position), 'nan') || ' |', chr(10)
+                     ORDER BY opportunity_clicks DESC, page) AS markdown
+FROM (SELECT * FROM pall ORDER BY opportunity_clicks DESC, page LIMIT 20)"""))
 def brief_markdown(spark, sf):
     from clickgap.operators import pages, report
     _, cf, p = surrogate_mapped(spark, sf)
     return report.brief_markdown(pages.page_opportunity_all(cf, p), X.FIXTURE_CONFIG.client_name)
 
 
-@register("end_to_end_clusters")
+@register("end_to_end_clusters", W(O.RUN_CTES, """
+SELECT cluster_id, topic_label, segment, queries, clicks, impressions,
+       round(opportunity_clicks, 6) AS opportunity_clicks, priority_band, primary_page,
+       round(match_score, 6) AS match_score, recommended_action FROM cf"""))
 def end_to_end_clusters(spark, sf):
     """Full run (real clustering, labels, plural merge, page match)."""
     from dataclasses import replace

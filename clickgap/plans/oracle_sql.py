@@ -8,6 +8,8 @@ Computed doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
+import re
+
 from clickgap.sources.fixtures import SEARCH_PAGES_SQL, SEARCH_QUERIES_SQL
 
 D = "CAST({} AS DOUBLE)".format
@@ -328,5 +330,68 @@ DOC_TFIDF_CTES = (ENRICHED_CTES.replace(f"sq AS ({SEARCH_QUERIES_SQL})", f"sq AS
 
 
 def with_ctes(ctes: str, body: str) -> str:
-    head = "WITH RECURSIVE " if "reach(src, dst)" in ctes else "WITH "
+    head = "WITH RECURSIVE " if "reach(src, dst)" in ctes or "link(it, rep, c)" in ctes else "WITH "
     return head + ctes.strip() + "\n" + body
+
+# average linkage as merge rounds: each step of the recursion holds every
+# text with its cluster; the closest pairs that choose each other merge
+_LINK_ROUNDS = """
+link(it, rep, c) AS (
+  SELECT 0, rep, rep FROM linksize
+  UNION ALL
+  (WITH cur AS (SELECT * FROM link),
+        sz AS (SELECT cur.c, sum(linksize.m) AS n FROM cur JOIN linksize ON linksize.rep = cur.rep GROUP BY cur.c),
+        pr AS (SELECT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b, sum(ldot.d) AS dot
+               FROM ldot JOIN cur x ON x.rep = ldot.a JOIN cur y ON y.rep = ldot.b
+               WHERE x.c <> y.c GROUP BY 1, 2),
+        sim AS (SELECT pr.a, pr.b, round(pr.dot / (p.n * q.n), 12) AS s
+                FROM pr JOIN sz p ON p.c = pr.a JOIN sz q ON q.c = pr.b
+                WHERE round(pr.dot / (p.n * q.n), 12) > {cut}),
+        ends AS (SELECT a AS c, a, b, s FROM sim UNION ALL SELECT b, a, b, s FROM sim),
+        best AS (SELECT c, a, b FROM ends QUALIFY row_number() OVER (PARTITION BY c ORDER BY s DESC, a, b) = 1),
+        mg AS (SELECT a AS kept, b AS gone FROM best GROUP BY a, b HAVING count(*) = 2)
+   SELECT cur.it + 1, cur.rep, coalesce(mg.kept, cur.c) FROM cur LEFT JOIN mg ON mg.gone = cur.c
+   WHERE EXISTS (SELECT 1 FROM mg))),
+linked AS (SELECT rep, c FROM link WHERE it = (SELECT max(it) FROM link))"""
+
+LINK_CTES = TFIDF_CTES + """,
+linksize AS MATERIALIZED (SELECT rep, CAST(mult AS DOUBLE) AS m FROM texts WHERE rep IN (SELECT rep FROM tw)),
+ldot AS MATERIALIZED (
+  SELECT x.rep AS a, y.rep AS b, sum(x.w * y.w) * any_value(p.m) * any_value(q.m) AS d
+  FROM tw x JOIN tw y ON x.segment = y.segment AND x.term = y.term AND x.rep < y.rep
+  JOIN linksize p ON p.rep = x.rep JOIN linksize q ON q.rep = y.rep
+  GROUP BY x.rep, y.rep),""" + _LINK_ROUNDS.format(cut=D("0.25")) + """,
+clustered AS (
+  SELECT s.row_id, s.segment, CASE
+    WHEN s.segment NOT IN (SELECT segment FROM tw) THEN min(s.row_id) OVER (PARTITION BY s.segment)
+    ELSE coalesce(l.c, s.row_id) END AS cluster_id
+  FROM seg s JOIN texts t ON t.segment = s.segment AND t.query_norm = s.query_norm
+  LEFT JOIN linked l ON l.rep = t.rep)"""
+
+EMBEDDING_LINK_CTES = """
+unit AS MATERIALIZED (
+  SELECT vec_id AS rep, label, list_transform(CAST(embedding AS DOUBLE[]),
+           lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
+  FROM embeddings WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0),
+linksize AS MATERIALIZED (SELECT rep, CAST(1 AS DOUBLE) AS m FROM unit),
+ldot AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b, list_dot_product(x.v, y.v) AS d
+                      FROM unit x JOIN unit y ON x.label = y.label AND x.rep < y.rep),""" + \
+    _LINK_ROUNDS.format(cut=D("0.25"))
+
+def _after(ctes: str, head: str) -> str:
+    assert ctes.startswith(head)
+    return ctes[len(head):]
+
+
+# the full run: real clusters, labels, plural merge, then scoring's clusters
+# and pages as for the surrogate clusters
+_LABELLED = _after(LABEL_CTES, SCORED_CTES)
+_SUR = _LABELLED[:_LABELLED.index(",\nltok AS")]
+RUN_CTES = (
+    SCORED_CTES + _after(LINK_CTES, ENRICHED_CTES)
+    + """,
+sur AS (SELECT banded.*, clustered.cluster_id FROM banded JOIN clustered ON clustered.row_id = banded.row_id)"""
+    + re.sub(r"\blq\b", "lq0", _LABELLED[len(_SUR):] + MERGE_CTES)
+    + """,
+lq AS (SELECT lq0.* REPLACE (merged.cluster_id AS cluster_id) FROM lq0 JOIN merged ON merged.row_id = lq0.row_id)"""
+    + _after(CLUSTER_CTES, LABEL_CTES) + _after(MATCH_CTES, CLUSTER_CTES))
