@@ -14,8 +14,11 @@ page; that pair list *is* the result, so its size is the output size.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from clickgap.config import RISK_HIGH, RISK_MEDIUM
 from clickgap.operators.aggregate import CLUSTER_KEYS
@@ -71,3 +74,35 @@ def risk_summary(risks: DataFrame) -> DataFrame:
     return risks.agg(F.count("*").alias("total_risks"),
                      F.count_if(F.col("risk_level") == "High").alias("high_risks"),
                      F.count_if(F.col("risk_level") == "Medium").alias("medium_risks"))
+
+
+def risk_counts(cluster: DataFrame) -> DataFrame:
+    """A17 without making the pairs: one row of total, high and medium
+    counts, equal to ``risk_summary(analyze_risks(cluster))``.
+
+    On one page, the pairs within a score difference are half of what each
+    flagged cluster sees in a range around its score; through the
+    runner-up, a cluster counts once for every flagged cluster of that page.
+    """
+    flagged = cluster.filter(F.col("cannibalisation_risk")) \
+        .select("primary_page", "match_score", "runner_up_page", "runner_up_score")
+
+    def within(bound: float):       # strictly closer than the bound
+        less = f"{math.nextafter(bound, 0.0)!r}D"
+        return F.expr(f"count(*) OVER (PARTITION BY primary_page ORDER BY match_score "
+                      f"RANGE BETWEEN {less} PRECEDING AND {less} FOLLOWING) - 1")
+    own = flagged.where(F.col("primary_page").isNotNull()).select(
+        "primary_page", within(RISK_HIGH).alias("near"), within(RISK_MEDIUM).alias("mid"),
+        (F.count("*").over(Window.partitionBy("primary_page")) - 1).alias("all"))
+    same = own.select(F.col("all").alias("t"), F.col("near").alias("h"), (F.col("mid") - F.col("near")).alias("m"),
+                      F.lit(2).alias("by"))
+    per = flagged.groupBy(F.col("primary_page").alias("runner_up_page")).agg(F.count("*").alias("n"))
+    level = risk_level(F.abs(F.col("match_score") - F.col("runner_up_score")))
+    runner = flagged.where(F.col("runner_up_page") != F.col("primary_page")).join(per, "runner_up_page").select(
+        F.col("n").alias("t"), F.when(level == "High", F.col("n")).otherwise(0).alias("h"),
+        F.when(level == "Medium", F.col("n")).otherwise(0).alias("m"), F.lit(1).alias("by"))
+    both = same.union(runner)
+
+    def total(c: str):
+        return F.coalesce(F.sum(F.col(c) * (F.lit(2) / F.col("by"))) / 2, F.lit(0)).cast("long")
+    return both.agg(total("t").alias("total_risks"), total("h").alias("high_risks"), total("m").alias("medium_risks"))

@@ -465,7 +465,7 @@ FROM (SELECT * FROM risk_same UNION ALL SELECT * FROM risk_runner)"""))
 def risk_summary(spark, sf):
     from clickgap.operators import risk
     _, cf, _ = surrogate_mapped(spark, sf)
-    return risk.risk_summary(risk.analyze_risks(cf))
+    return risk.risk_counts(cf)
 
 
 @register("effort_ranking", W(O.MATCH_CTES + O.EFFORT_CTES, """
@@ -669,3 +669,134 @@ def document_line_tfidf(spark, sf):
     w, _ = cluster.segment_vectors(texts)
     return (w.join(texts.select("segment", "rep", "query_norm"), ["segment", "rep"])
              .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w")))
+
+
+# ---------------------------------------------------------------------------
+# 8. sources and sinks: written below the shared folder, read back
+# ---------------------------------------------------------------------------
+
+def _folder(spark) -> str:
+    import uuid
+
+    from clickgap.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@register("export_queries", f"""
+SELECT query, CAST(clicks AS VARCHAR) AS clicks, CAST(impressions AS VARCHAR) AS impressions, ctr_raw,
+       round(position, 6) AS position, row_id % 3 AS extra
+FROM ({X.SEARCH_QUERIES_SQL})""")
+def export_queries(spark, sf):
+    """The query table as CSV exports under two header
+    languages with one more column, read back by the header rule."""
+    from clickgap.sources import exports, sinks
+    q = X.search_queries(spark, sf).withColumn("Extra column", F.col("row_id") % 3)
+    home = _folder(spark)
+    heads = {"en": ["Top queries", "Clicks", "Impressions", "CTR", "Position"],
+             "nl": ["Zoekopdracht", "Klikken", "Weergaven", "CTR", "Positie"]}
+    for i, (lang, names) in enumerate(heads.items()):
+        part = q.where(F.col("row_id") % 2 == i).select(
+            "Extra column", *[F.col(c).alias(n) for c, n in zip(
+                ["query", "clicks", "impressions", "ctr_raw", "position"], names)])
+        sinks.write_csv(part, f"{home}/{lang}")
+    got = exports.read_exports(spark, [f"{home}/{lang}" for lang in heads])
+    return got.select("query", "clicks", "impressions", "ctr_raw", r6(F.col("position").cast("double")).alias("position"),
+                      F.col("Extra column").cast("long").alias("extra"))
+
+
+@register("export_pages", f"""
+SELECT page, CAST(clicks AS VARCHAR) AS page_clicks, CAST(impressions AS VARCHAR) AS page_impressions,
+       round(position, 6) AS page_position FROM ({X.SEARCH_PAGES_SQL})""")
+def export_pages(spark, sf):
+    """The page table as a CSV export, with a header that only a
+    manual mapping resolves."""
+    from clickgap.sources import exports, sinks
+    p = X.search_pages(spark, sf).select(
+        F.col("page").alias("Adres"), F.col("page_clicks").alias("Klikken"), F.col("page_impressions").alias("Weergaven"),
+        F.col("page_ctr_raw").alias("CTR"), F.col("page_position").alias("Positie"))
+    home = _folder(spark)
+    sinks.write_csv(p, home)
+    got = exports.read_exports(spark, home, "pages", mapping={"page": "Adres"})
+    return got.select("page", "page_clicks", "page_impressions",
+                      r6(F.col("page_position").cast("double")).alias("page_position"))
+
+
+@register("clusters_sink", W(O.CLUSTER_CTES, """
+SELECT cluster_id, topic_label, segment, queries, round(opportunity_clicks, 6) AS opportunity_clicks,
+       priority_band FROM ct"""))
+def clusters_sink(spark, sf):
+    """The cluster table written as CSV and read back."""
+    from clickgap.sources import sinks
+    _, cl = surrogate_clusters_table(spark, sf)
+    home = _folder(spark)
+    sinks.write_csv(cl, home)
+    got = spark.read.options(header=True, escape='"', inferSchema=False).csv(home)
+    return got.select(F.col("cluster_id").cast("long").alias("cluster_id"), "topic_label", "segment",
+                      F.col("queries").cast("long").alias("queries"),
+                      r6(F.col("opportunity_clicks").cast("double")).alias("opportunity_clicks"), "priority_band")
+
+
+@register("pages_per_segment_sink", W(O.MATCH_CTES + O.PAGE_TABLE_CTES, """
+SELECT page, segment, brand_label, intent, round(impressions, 6) AS impressions,
+       round(opportunity_clicks, 6) AS opportunity_clicks FROM pseg"""))
+def pages_per_segment_sink(spark, sf):
+    """The page x segment table, one folder per segment, read back."""
+    from clickgap.operators import pages
+    from clickgap.sources import sinks
+    qf, _, p = surrogate_mapped(spark, sf)
+    home = _folder(spark)
+    sinks.write_csv(pages.page_opportunity_segment(qf, p), home, partition_by="segment")
+    got = spark.read.options(header=True, escape='"', inferSchema=False).csv(home)
+    return got.select("page", F.col("segment").cast("string").alias("segment"), "brand_label", "intent",
+                      r6(F.col("impressions").cast("double")).alias("impressions"),
+                      r6(F.col("opportunity_clicks").cast("double")).alias("opportunity_clicks"))
+
+
+@register("saved_results", W(O.CLUSTER_CTES, """
+SELECT cluster_id, topic_label, priority_band FROM ct"""))
+def saved_results(spark, sf):
+    """Result tables kept in the catalog and read from it."""
+    import uuid
+
+    from clickgap.sources import sinks
+    _, cl = surrogate_clusters_table(spark, sf)
+    prefix = f"run_{uuid.uuid4().hex}"
+    sinks.save_results({"cluster": cl}, prefix)
+    return spark.table(f"{prefix}_cluster").select("cluster_id", "topic_label", "priority_band")
+
+
+@register("keyword_config_counts", W(O.ENRICHED_CTES, """
+SELECT intent, count(*) AS keywords FROM (SELECT DISTINCT intent, split_part(query_norm, ' ', 1) AS word FROM enriched)
+WHERE word <> '' GROUP BY intent"""))
+def keyword_config_counts(spark, sf):
+    """The first words of each intent's queries as keyword
+    text, parsed, written as the JSON configuration, read back and counted."""
+    from clickgap.sources import keywords as K
+    words = enriched(spark, sf).select("intent", F.split("query_norm", " ")[0].alias("w")).where("w <> ''").distinct()
+    # four intents, one keyword text each: what a user would type
+    texts = {r["intent"]: r["t"] for r in words.groupBy("intent").agg(
+        F.array_join(F.array_sort(F.collect_set("w")), ", ").alias("t")).collect()}
+    home = _folder(spark)
+    K.write_keyword_config(spark, K.keyword_lists_from_text(texts), home)
+    got = K.keyword_counts(K.read_keyword_config(spark, home))
+    return got.select("intent", F.col("keywords").cast("long").alias("keywords"))
+
+
+@register("semantic_clusters", W(O.SEMANTIC_CTES, """
+SELECT s.row_id, s.segment, CASE
+  WHEN d.dense THEN coalesce(l.c, s.row_id)
+  ELSE t.cluster_id END AS cluster_id
+FROM seg s JOIN dense d ON d.segment = s.segment
+LEFT JOIN (SELECT rep, c FROM linked) l ON l.rep = s.row_id
+LEFT JOIN clustered t ON t.row_id = s.row_id"""))
+def semantic_clusters(spark, sf):
+    """M10 in a run: every unbranded query has a vector (the embeddings,
+    dealt by row_id) and clusters by it; branded segments have none and
+    cluster by their texts."""
+    from clickgap.operators import cluster
+    vec = X.table(spark, sf, "embeddings").select(F.col("vec_id"), "embedding")
+    n = vec.count()
+    emb = enriched(spark, sf).where("NOT is_branded").select("row_id", (F.col("row_id") % n).alias("vec_id")) \
+        .join(vec, "vec_id").select("row_id", "embedding")
+    q = cluster.cluster_queries(enriched(spark, sf), X.FIXTURE_CONFIG, vectors=emb)
+    return q.select("row_id", "segment", "cluster_id")

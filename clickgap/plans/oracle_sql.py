@@ -395,3 +395,20 @@ sur AS (SELECT banded.*, clustered.cluster_id FROM banded JOIN clustered ON clus
     + """,
 lq AS (SELECT lq0.* REPLACE (merged.cluster_id AS cluster_id) FROM lq0 JOIN merged ON merged.row_id = lq0.row_id)"""
     + _after(CLUSTER_CTES, LABEL_CTES) + _after(MATCH_CTES, CLUSTER_CTES))
+
+# semantic clusters: segments whose rows all have a vector by the vectors,
+# the others by their texts
+_TEXT_LINK = _after(LINK_CTES, ENRICHED_CTES)
+for _name in ("linksize", "ldot", "link", "linked"):
+    _TEXT_LINK = re.sub(rf"\b{_name}\b", f"t{_name}", _TEXT_LINK)
+SEMANTIC_CTES = ENRICHED_CTES + _TEXT_LINK + """,
+dense AS (SELECT s.segment, bool_and(e.vec_id IS NOT NULL) AS dense
+          FROM seg s LEFT JOIN embeddings e ON NOT s.is_branded AND e.vec_id = s.row_id % (SELECT count(*) FROM embeddings)
+          GROUP BY s.segment),
+unit AS MATERIALIZED (
+  SELECT s.row_id AS rep, s.segment AS label, list_transform(CAST(embedding AS DOUBLE[]),
+           lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v
+  FROM seg s JOIN dense d ON d.segment = s.segment AND d.dense
+  JOIN embeddings e ON e.vec_id = s.row_id % (SELECT count(*) FROM embeddings)
+  WHERE list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0)""" + \
+    EMBEDDING_LINK_CTES[EMBEDDING_LINK_CTES.index(",\nlinksize AS"):]

@@ -18,16 +18,18 @@ from clickgap.operators import aggregate, cluster, enrich, label, pages, score
 from clickgap.session import materialize
 
 
-def run(queries: DataFrame, page_rows: DataFrame, cfg: Config) -> dict[str, DataFrame]:
+def run(queries: DataFrame, page_rows: DataFrame, cfg: Config,
+        vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """queries: query, clicks, impressions, ctr_raw, position, row_id (+ extra)
     page_rows: page, page_clicks, page_impressions, page_ctr_raw, page_position, page_ord
+    vectors (semantic clustering): row_id, embedding, from any encoder
     Returns q, cluster, page_all, page_segment, pages."""
     q = materialize(enrich.preprocess_queries(queries, cfg))
     if cfg.exclusion_terms and q.isEmpty():
         raise ValueError("All queries were filtered out by exclusion terms. "
                          "Please adjust your exclusion terms.")
     p = materialize(enrich.preprocess_pages(page_rows))
-    q = materialize(cluster.cluster_queries(q, cfg))
+    q = materialize(cluster.cluster_queries(q, cfg, vectors=vectors))
     q = label.label_clusters(q)
     if cfg.merge_plurals:
         q = label.merge_plural_clusters(q)

@@ -8,11 +8,12 @@ regex literals on the driver - a handful of strings, never rows.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickgap.config import DEFAULT_INTENT_KEYWORDS, INTENT_ORDER
+from clickgap.config import DEFAULT_INTENT_KEYWORDS, INTENT_ORDER, Config
 from clickgap.functions.rules import parse_term_text
 
 CONFIG_TYPE = "map<string, array<string>>"
@@ -57,3 +58,10 @@ def keyword_lists_from_text(texts: dict[str, str | None]) -> dict[str, list[str]
 
 def default_keywords() -> dict[str, list[str]]:
     return {k: list(v) for k, v in DEFAULT_INTENT_KEYWORDS.items()}
+
+
+def with_keywords(cfg: Config, config: DataFrame | dict[str, list[str]]) -> Config:
+    """``cfg`` with the intent keywords of a read configuration (or of a
+    plain dict); intents it does not name keep their defaults."""
+    given = config if isinstance(config, dict) else to_dict(config)
+    return replace(cfg, intent_keywords=default_keywords() | given)

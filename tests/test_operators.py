@@ -206,3 +206,24 @@ def test_unparsable_and_missing_urls(spark):
     assert got[1].s == "nan" and got[1].t == ["nan"]
     assert got[2].s == "a-b" and got[2].t == ["a", "b"]
     assert got[3].s == "y" * 80
+
+
+def test_risk_counts_equal_the_pairs(spark):
+    import random
+
+    from clickgap.operators import risk
+    from clickgap.operators.aggregate import CLUSTER_KEYS
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        page = rng.choice(["a", "b", "c"])
+        score = rng.choice([0.2, 0.21, 0.215, 0.22, 0.2 + rng.random() / 20])
+        rows.append((i, f"t{i}", "s", "b", "i", rng.random() < 0.8, page, score, rng.choice(["a", "b", "c", None]),
+                     score - rng.choice([0.005, 0.01, 0.015, 0.03])))
+    cols = ("cluster_id long, topic_label string, segment string, brand_label string, intent string, "
+            "cannibalisation_risk boolean, primary_page string, match_score double, runner_up_page string, "
+            "runner_up_score double")
+    df = spark.createDataFrame(rows, cols)
+    assert set(CLUSTER_KEYS) <= set(df.columns)
+    assert risk.risk_counts(df).first() == risk.risk_summary(risk.analyze_risks(df)).first()
+    assert tuple(risk.risk_counts(df.limit(0)).first()) == (0, 0, 0)
