@@ -78,7 +78,9 @@ def risk_summary(risks: DataFrame) -> DataFrame:
 
 def risk_counts(cluster: DataFrame) -> DataFrame:
     """A17 without making the pairs: one row of total, high and medium
-    counts, equal to ``risk_summary(analyze_risks(cluster))``.
+    counts, equal to ``risk_summary(analyze_risks(cluster))`` (a difference
+    within floating-point rounding of a level's bound may fall on its other
+    side).
 
     On one page, the pairs within a score difference are half of what each
     flagged cluster sees in a range around its score; through the

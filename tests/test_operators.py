@@ -217,9 +217,9 @@ def test_risk_counts_equal_the_pairs(spark):
     rows = []
     for i in range(150):
         page = rng.choice(["a", "b", "c"])
-        score = rng.choice([0.2, 0.21, 0.215, 0.22, 0.2 + rng.random() / 20])
+        score = rng.choice([0.2, 0.2043, 0.2157, 0.2211, 0.2 + rng.random() / 20])
         rows.append((i, f"t{i}", "s", "b", "i", rng.random() < 0.8, page, score, rng.choice(["a", "b", "c", None]),
-                     score - rng.choice([0.005, 0.01, 0.015, 0.03])))
+                     score - rng.choice([0.005, 0.0123, 0.015, 0.03])))
     cols = ("cluster_id long, topic_label string, segment string, brand_label string, intent string, "
             "cannibalisation_risk boolean, primary_page string, match_score double, runner_up_page string, "
             "runner_up_score double")
