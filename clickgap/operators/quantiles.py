@@ -36,6 +36,16 @@ def _lerp(a: float, b: float, t: float) -> float:
     return b - d * (1.0 - t) if t >= 0.5 else a + d * t
 
 
+def _inside(lo: float | None, hi: float | None):
+    """Whether ``_v`` is in (lo, hi]; None is open."""
+    ok = F.lit(True)
+    if lo is not None:
+        ok = ok & (F.col("_v") > F.lit(float(lo)))
+    if hi is not None:
+        ok = ok & (F.col("_v") <= F.lit(float(hi)))
+    return ok
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str,
                      ranks: dict[tuple, list[int]], small: int = 50_000,
                      grid: int = 64, accuracy: int = 20_000,
@@ -60,11 +70,15 @@ def order_statistics(df: DataFrame, keys: list[str], value: str,
     for rnd in range(max_rounds):
         if not active:
             break
-        tdf = spark.createDataFrame([(t[0], *t[1], t[3], t[4]) for t in active], schema)
-        cond = [base[k].eqNullSafe(tdf[k]) for k in keys]
-        cond.append(tdf["lo"].isNull() | (base["_v"] > tdf["lo"]))
-        cond.append(tdf["hi"].isNull() | (base["_v"] <= tdf["hi"]))
-        inside = base.join(F.broadcast(tdf), cond).select("tid", base["_v"])
+        if keys:
+            tdf = spark.createDataFrame([(t[0], *t[1], t[3], t[4]) for t in active], schema)
+            cond = [base[k].eqNullSafe(tdf[k]) for k in keys]
+            cond.append(tdf["lo"].isNull() | (base["_v"] > tdf["lo"]))
+            cond.append(tdf["hi"].isNull() | (base["_v"] <= tdf["hi"]))
+            inside = base.join(F.broadcast(tdf), cond).select("tid", base["_v"])
+        else:       # one group, a handful of targets: tested on the row, no join
+            inside = base.select(F.explode(F.array_compact(F.array(
+                *[F.when(_inside(t[3], t[4]), F.lit(t[0])) for t in active]))).alias("tid"), "_v")
         if rnd == 0 and counts is not None and all(counts[t[1]] <= small for t in active):
             exact, refine = list(active), []
         else:
