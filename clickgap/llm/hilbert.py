@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from .common import fresh, stage
 
 BITS = 5            # buckets per dimension, as a power of two
+BROADCAST_BITS = 18 # cells (as a power of two) up to which their table is broadcast
 PART_ROWS = 256     # least rows that a part of a cell is meant to hold
 
 
@@ -48,41 +49,48 @@ def order_number(c: Column, kind: T.DataType) -> Column:
 def hilbert_index(df: DataFrame, axes: str, out: str, dims: int, bits: int) -> DataFrame:
     """Column ``out``: Hilbert index of the array column ``axes`` of
     ``dims`` integers below 2^bits (Skilling's transpose form, then the
-    bits interleaved). ``axes`` is used up."""
+    bits interleaved). ``axes`` stays as it is."""
     def lit(v):
         return F.lit(v).cast("int")
 
     def turn(x, q):
         def one(x, i):
             x0, xi = F.get(x, lit(0)), F.get(x, i)
-            t = x0.bitwiseXOR(xi).bitwiseAND(q - 1)
-            change = F.when(xi.bitwiseAND(q) != 0, F.struct((q - 1).alias("first"), lit(0).alias("own"))) \
-                .otherwise(F.struct(t.alias("first"), t.alias("own")))
-            return F.transform(x, lambda v, j: F.when(j == 0, v.bitwiseXOR(change["first"]))
-                               .otherwise(v).bitwiseXOR(F.when(j == i, change["own"]).otherwise(lit(0))))
+            on = xi.bitwiseAND(q) != 0
+            t = F.when(on, lit(0)).otherwise(x0.bitwiseXOR(xi).bitwiseAND(q - 1))
+            first = F.when(on, q - 1).otherwise(t)
+            return F.transform(x, lambda v, j: v.bitwiseXOR(F.when(j == 0, first).otherwise(lit(0)))
+                               .bitwiseXOR(F.when(j == i, t).otherwise(lit(0))))
         return F.aggregate(F.array(*[lit(i) for i in range(dims)]), x, one)
 
+    kept = df.columns
+    turned, gray, flip = fresh(df, "turned", "gray", "flip")
     steps = F.array(*[lit(1 << b) for b in range(bits - 1, 0, -1)]) if bits > 1 else None
-    x, flip = F.col(axes), fresh(df, "flip")[0]
-    if steps is not None:
-        df = df.withColumn(axes, F.aggregate(steps, x, turn))
-    # Gray code: each axis becomes the running xor up to it
-    df = df.withColumn(axes, F.aggregate(x, F.array().cast("array<int>"), lambda acc, v: F.concat(
-        acc, F.array(v.bitwiseXOR(F.coalesce(F.try_element_at(acc, lit(-1)), lit(0)))))))
-    if steps is not None:
+    df = df.withColumn(turned, F.col(axes) if steps is None else F.aggregate(steps, F.col(axes), turn))
+    # Gray code: each axis becomes the exclusive or of all up to it
+    upto, marks = None, []
+    for i in range(dims):
+        x = F.get(F.col(turned), lit(i))
+        upto = x if upto is None else upto.bitwiseXOR(x)
+        marks.append(upto)
+    df = df.withColumn(gray, F.array(*marks))
+    if steps is None:
+        df = df.withColumn(flip, lit(0))
+    else:
         df = df.withColumn(flip, F.aggregate(steps, lit(0), lambda t, q: F.when(
-            F.element_at(x, -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)))
-        df = df.withColumn(axes, F.transform(x, lambda v: v.bitwiseXOR(F.col(flip)))).drop(flip)
-    bit_of = F.array(*[lit(b) for b in range(bits - 1, -1, -1)])
-    return df.withColumn(out, F.aggregate(bit_of, F.lit(0).cast("long"), lambda acc, b: F.aggregate(
-        x, acc, lambda a, v: a * 2 + F.call_function("shiftright", v, b).bitwiseAND(lit(1)).cast("long")))) \
-        .drop(axes)
-
-
-def curve_cells(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> DataFrame:
-    """``df`` with column ``out``: the Hilbert index of its quantised
-    ``dims``. The cut points are approximate quantiles of the whole table
-    (at most 2^bits - 1 numbers a dimension reach the driver)."""
+            F.element_at(F.col(gray), -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)))
+    index = F.lit(0).cast("long")
+    for b in range(bits - 1, -1, -1):
+        for i in range(dims):
+            bit = F.shiftright(F.get(F.col(gray), lit(i)).bitwiseXOR(F.col(flip)), b).bitwiseAND(lit(1))
+            index = index * 2 + bit.cast("long")
+    return df.withColumn(out, index).select(*[F.col(f"`{c}`") for c in kept], out)
+
+
+def quantile_axes(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> DataFrame:
+    """``df`` with the array column ``out``: each dimension's quantile
+    bucket. The cut points are approximate quantiles of the whole table (at
+    most 2^bits - 1 numbers a dimension reach the driver)."""
     if not dims or bits < 1 or bits * len(dims) > 62:
         raise ValueError("1 to 62 bits in all")
     kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -96,11 +104,16 @@ def curve_cells(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> D
         below = F.lit(0)
         if at:
             points = F.array(*[F.lit(v) for v in at])
-            below = F.when(n.isNull(), F.lit(0)).otherwise(
-                F.size(F.filter(points, lambda p: p < n)))
+            below = F.when(n.isNull(), F.lit(0)).otherwise(F.size(F.filter(points, lambda p: p < n)))
         axes.append(below.cast("int"))
+    return df.withColumn(out, F.array(*axes))
+
+
+def curve_cells(df: DataFrame, dims: list[str], out: str, bits: int = BITS) -> DataFrame:
+    """``df`` with column ``out``: the Hilbert index of its quantised
+    ``dims``."""
     name, = fresh(df, "axes")
-    return hilbert_index(df.withColumn(name, F.array(*axes)), name, out, len(dims), bits)
+    return hilbert_index(quantile_axes(df, dims, name, bits), name, out, len(dims), bits).drop(name)
 
 
 def shards(df: DataFrame, dims: list[str], n_shards: int, ties: list[Column],
@@ -111,16 +124,19 @@ def shards(df: DataFrame, dims: list[str], n_shards: int, ties: list[Column],
     shard, slot, curve = names
     if {n.lower() for n in names} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns {names} are taken; choose other names")
-    spread, part, parts, before, rank = fresh(df, "spread", "part", "parts", "before", "rank")
-    base = curve_cells(df, dims, curve, bits).withColumn(spread, F.xxhash64(*ties))
+    spread, part, parts, before, rank, axes = fresh(df, "spread", "part", "parts", "before", "rank", "axes")
+    base = quantile_axes(df, dims, axes, bits).withColumn(spread, F.xxhash64(*ties))
 
-    cells = base.groupBy(curve).agg(F.count("*").alias(rank))
+    # the index is worked out once per cell, not per row
+    cells = hilbert_index(base.groupBy(axes).agg(F.count("*").alias(rank)), axes, curve, len(dims), bits)
     cells = stage(cells.withColumn(                     # at most 2^(bits * dims) rows
         before, F.sum(rank).over(Window.orderBy(curve).rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn(parts, F.ceil(F.least(F.col(rank) / PART_ROWS, F.sqrt(rank)))))
     total = cells.agg(F.sum(rank)).first()[0] or 0
-    small = F.broadcast(cells.select(curve, F.coalesce(before, F.lit(0)).alias(before), parts))
-    split = base.join(small, curve).withColumn(part, F.pmod(F.col(spread), F.col(parts)))
+    small = cells.select(axes, curve, F.coalesce(before, F.lit(0)).alias(before), parts)
+    if bits * len(dims) <= BROADCAST_BITS:
+        small = F.broadcast(small)
+    split = base.join(small, axes).drop(axes).withColumn(part, F.pmod(F.col(spread), F.col(parts)))
 
     counted = split.groupBy(curve, part, before).agg(F.count("*").alias(rank))
     w = Window.partitionBy(curve).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
