@@ -37,11 +37,11 @@ from .common import fresh, mix64, prepare, segment_ids, text_chunks, word_hashes
 BITS = 20
 PREFIXES = (4, 5, 6)    # leading bytes of longer words that are features too
 SAMPLE = 16_000         # largest number of rated documents that fit the model
-STEPS = 200             # full passes over the sample
+STEPS = 300             # full passes over the sample
 RATE = 0.05             # Adam step
-L2 = 2e-4               # weight penalty per document
+L2 = 1e-4               # weight penalty per document
 MIN_DOCS = 3            # sample documents that must hold a word
-SCREEN = 4.0            # standard errors by which a word's mean grade must be off
+SCREEN = 5.0            # standard errors by which a word's mean grade must be off
 
 _WORDY = np.zeros(256, dtype=bool)
 _WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
