@@ -45,6 +45,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 _PATTERN = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: numbers of six digits or more, as mentions
+LONG_NUMBER = r"[0-9](?:[\x20-]?+[0-9]){5,}+(?![A-Za-z0-9])"
 #: other identifier-like tokens: 6 to 64 characters with a digit
 TOKEN = (r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,62}"
          r"[A-Za-z0-9](?![A-Za-z0-9])")
@@ -52,6 +54,7 @@ TOKEN = (r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4
 ROUNDS = 3
 SUPPORT = 3         # distinct seeds that a pattern must hold
 LEAST = 0.8         # confidence that accepts a pattern
+BLOCK = 128         # matches whose positions are gathered at once
 REACH = 80          # characters looked at for the words around a mention
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -62,16 +65,25 @@ def matches(text: Column, pattern: str) -> Column:
     code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    none = F.array().cast(_SPANS)
 
     def add(acc, m):
         start = acc["at"] + F.length(m["between"])
         end = start + F.length(m["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
             start.alias("start"), end.alias("end"), m["value"].alias("value")))).alias("out"))
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)),
-                       lambda v, b: F.struct(v.alias("value"), b.alias("between")))
-    return F.aggregate(pairs, begin, add, lambda acc: acc["out"])
+    # in blocks: appending copies the array, so long ones would cost a square
+    def block(acc, k):
+        part = F.zip_with(F.slice(found, k * BLOCK + 1, F.lit(BLOCK)),
+                          F.slice(between, k * BLOCK + 1, F.least(F.lit(BLOCK), F.size(found) - k * BLOCK)),
+                          lambda v, b: F.struct(v.alias("value"), b.alias("between")))
+        got = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return F.transform(F.array(got), lambda g: F.struct(
+            g["at"].alias("at"), F.concat(acc["outs"], F.array(g["out"])).alias("outs")))[0]
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("outs"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+    return F.when(F.size(found) == 0, none).otherwise(
+        F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["outs"])))
 
 
 def _digits(v: Column) -> Column:
@@ -114,7 +126,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per identifier-like mention: ``row_key``, ``start``, ``end``,
     ``value``, ``kind`` (null unless it passes as a base kind) and
     ``patterns`` (the contexts it stands in)."""
-    any_of = "|".join([EMAIL, IP, PHONE, CARD + "(?![A-Za-z0-9])", TOKEN])
+    any_of = "|".join([EMAIL, IP, PHONE, LONG_NUMBER, TOKEN])
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), text.alias("text")) \
         .where(F.col("text").rlike("[0-9]|@"))
