@@ -15,6 +15,14 @@ The main text of a page is made of its blocks in page order, minus
 Where the page marks its article (article, main, role=main), only that
 part counts.
 
+A class or id word counts only if it names the element: words after has-,
+no- or with- and names of layouts say what stands inside or beside it.
+Words never exclude an element around main, nor around the page's
+articles (those below the fewest marked elements; a nested article that
+calls itself a comment is none). Inside an article the id of a heading is
+the slug of its title and says nothing; that of a section counts only if
+it is made of such words alone ("comments", not "social-history").
+
 Parsing follows the usual recovery rules in short form: void elements,
 implied ends of paragraphs, list and table parts, raw text of scripts and
 styles, character references without semicolon, unclosed tags closed by
@@ -37,6 +45,7 @@ import hashlib
 import html as _html
 import re
 import sys
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,15 +84,17 @@ MARKS = frozenset(
     "pager pagination popup promo promoted promotion related respond reply replies sharing share sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split())
 _HEADS = frozenset("header masthead topbar sitehead siteheader".split())
+_BESIDE = frozenset("has have no non not with without".split())     # the words after them do not name the element
+_TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _GAP = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "mark", "children", "parent", "texts", "role", "shape", "size")
+    __slots__ = ("tag", "mark", "ident", "children", "parent", "texts", "role", "shape", "size")
 
-    def __init__(self, tag, parent, mark="", role=""):
-        self.tag, self.parent, self.mark, self.role = tag, parent, mark, role
+    def __init__(self, tag, parent, mark="", role="", ident=""):
+        self.tag, self.parent, self.mark, self.role, self.ident = tag, parent, mark, role, ident
         self.children, self.texts = [], []      # texts: (children before it, text)
         self.shape, self.size = None, 1
 
@@ -119,10 +130,10 @@ def parse(source: str) -> Node:
             if up is not None and up.parent is not None:
                 cur = up.parent
             continue
-        mark = role = ""
+        mark = role = ident = ""
         if m.group("attrs"):
             got = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(m.group("attrs"))}
-            mark = f"{got.get('class') or ''} {got.get('id') or ''}".strip()
+            mark, ident = (got.get("class") or "").strip(), (got.get("id") or "").strip()
             role = (got.get("role") or "").lower()
             if "hidden" in got:
                 role = role or "alert"
@@ -141,7 +152,7 @@ def parse(source: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 cur = up.parent
-        node = Node(tag, cur, mark, role)
+        node = Node(tag, cur, mark, role, ident)
         cur.children.append(node)
         if tag in RAW and not m.group("attrs").endswith("/"):
             close = re.compile(r"</" + re.escape(tag) + r"\s*>", re.I).search(source, at)
@@ -164,7 +175,7 @@ def nodes(root: Node) -> list[Node]:
         out.append(x)
         todo.extend(reversed(x.children))
     for x in reversed(out):
-        x.shape = hash((x.tag, x.mark, tuple(c.shape for c in x.children)))
+        x.shape = hash((x.tag, x.mark, x.ident, tuple(c.shape for c in x.children)))
         x.size = 1 + sum(c.size for c in x.children)
     return out
 
@@ -184,7 +195,7 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     weight: dict = {}
 
     def same(x, y):
-        return x.tag == y.tag and x.mark == y.mark
+        return x.tag == y.tag and x.mark == y.mark and x.ident == y.ident
 
     def table(x, y):
         """Choices of the children's alignment and its weight (row by row;
@@ -237,36 +248,95 @@ def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def _excluded(x: Node, inside: bool) -> bool:
-    """Whether an element is never content; ``inside`` an article, a header
-    may hold its title."""
-    if x.tag in NEVER or x.role in ROLES:
-        return True
-    if x.tag == "header" and not inside:
-        return True
-    if x.mark and x.tag not in ("html", "body", "article", "main"):
-        parts = {p.lower() for p in _PART.findall(x.mark)}
-        if parts & MARKS or (parts & _HEADS and not inside):
-            return True
-    return False
-
-
-def _article(all_nodes: list[Node]) -> list[Node]:
-    """Outermost article / main elements that are not inside excluded ones."""
-    found = []
-    skip = set()
+@lru_cache(1 << 14)
+def _names(value: str) -> frozenset:
+    """The words of a class or id that name the element."""
+    out = set()
+    for token in value.split():
+        words = [p.lower() for p in _PART.findall(token)]
+        if "layout" in words:
+            continue
+        for w in words:
+            if w in _BESIDE:
+                break
+            out.add(w)
+    return frozenset(out)
+
+
+def _never(x: Node, inside: bool) -> bool:
+    """Whether tag or role say that an element never is content; ``inside``
+    an article, a header may hold its title."""
+    return x.tag in NEVER or x.role in ROLES or (x.tag == "header" and not inside)
+
+
+def _marked(x: Node, inside: bool) -> bool:
+    """Whether class or id name an element that never is content."""
+    if not (x.mark or x.ident) or x.tag in ("html", "body", "article", "main"):
+        return False
+    words = _names(x.mark)
+    if x.ident:
+        own = _names(x.ident)
+        if inside and (x.tag in _TITLES or x.parent.tag in _TITLES):
+            own = frozenset()
+        elif inside and (x.tag == "section" or "section" in words) and not own <= MARKS:
+            own = frozenset()
+        words = words | own
+    return not words.isdisjoint(MARKS) or (not inside and not words.isdisjoint(_HEADS))
+
+
+def _article(all_nodes: list[Node]) -> tuple[list[Node], set]:
+    """Outermost article / main elements that are not inside excluded ones,
+    and the ids of the marked elements that stay as they hold them."""
+    def is_main(x):
+        return x.tag == "main" or x.role == "main"
+
+    def is_article(x):
+        return x.tag == "article" or x.role == "article"
+    if not any(is_main(x) or is_article(x) for x in all_nodes):
+        return [], set()
+    dead, marked, inner = set(), set(), set()
     for x in all_nodes:
         p = x.parent
-        if p is not None and id(p) in skip:
-            skip.add(id(x))
+        if p is None or x.tag in ("html", "body", "head"):
             continue
-        if x.tag in ("article", "main") or x.role in ("main", "article"):
-            found.append(x)
+        if id(p) in inner or is_main(x) or is_article(x):
+            inner.add(id(x))
+        if id(p) in dead or _never(x, id(p) in inner):
+            dead.add(id(x))
+        elif not is_main(x) and _marked(x, id(p) in inner):
+            marked.add(id(x))
+    kept: set = set()
+
+    def keep(x):
+        x = x.parent
+        while x is not None:
+            if id(x) in marked:
+                kept.add(id(x))
+            x = x.parent
+    for x in all_nodes:
+        if is_main(x) and id(x) not in dead:
+            keep(x)
+    # the page's articles are those below the fewest marked elements
+    above = {}
+    for x in all_nodes:
+        above[id(x)] = above.get(id(x.parent), 0) + (id(x) in marked and id(x) not in kept)
+    articles = [x for x in all_nodes if is_article(x) and id(x) not in dead and _names(x.mark).isdisjoint(MARKS)]
+    least = min((above[id(x)] for x in articles), default=0)
+    if least:
+        for x in articles:
+            if above[id(x)] == least:
+                keep(x)
+    found, skip = [], set()
+    for x in all_nodes:
+        if x.parent is not None and id(x.parent) in skip:
             skip.add(id(x))
-        elif x.tag not in ("", "html", "body", "head") and _excluded(x, False):
+        elif id(x) in dead or (id(x) in marked and id(x) not in kept):
+            skip.add(id(x))
+        elif is_main(x) or is_article(x):
+            found.append(x)
             skip.add(id(x))
-    mains = [x for x in found if x.tag == "main" or x.role == "main"]
-    return mains or found
+    mains = [x for x in found if is_main(x)]
+    return mains or found, kept
 
 
 def _tidy(s: str) -> str:
@@ -278,7 +348,7 @@ def blocks(root: Node, template: set | None = None) -> list[tuple[Node, str]]:
     block elements belongs to the nearest block around it. ``template``:
     ids of nodes to leave out."""
     everything = nodes(root)
-    tops = _article(everything)
+    tops, kept = _article(everything)
     inside = bool(tops)
     out: list = []
     run: list[str] = []
@@ -307,7 +377,7 @@ def blocks(root: Node, template: set | None = None) -> list[tuple[Node, str]]:
                     if child.tag == "hr":
                         flush()
                     continue
-                if _excluded(child, inside) or child.tag in RAW:
+                if _never(child, inside) or child.tag in RAW or (id(child) not in kept and _marked(child, inside)):
                     if child.tag in BLOCK:
                         flush()
                     continue

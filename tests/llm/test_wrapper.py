@@ -27,6 +27,25 @@ def test_pages_without_marks_and_broken_pages():
     assert text_of("<div class='download-area'>kept</div><div class='adverts'>gone</div>") == "kept"
 
 
+def test_words_that_do_not_name_the_element():
+    for name in ("content has-sidebar", "no-sidebar", "page-with-comments", "hasSidebar", "sidebar-layout"):
+        assert text_of(f"<div class='{name}'><p>a</p></div>") == "a"
+        assert text_of(f"<div class='{name}'><article><p>a</p></article><div class='sidebar'>b</div></div>") == "a"
+    # a word never excludes what holds the article or main
+    assert text_of("<div class='content sidebar'><article>a</article><div id='comments'><article>b</article></div></div>") == "a"
+    assert text_of("<div id='menu'><main><div class='sidebar-right'><article>a</article></div></main></div>") == "a"
+    # but other articles of marked elements stay out
+    assert text_of("<article>a</article><div class='related'><article>b</article></div>") == "a"
+    assert text_of("<main><p>a</p><div id='comments'><article class='comment'>b</article></div></main>") == "a"
+
+
+def test_slug_ids_inside_an_article():
+    html = """<article><h2 id='related-work'>Related work</h2><p>one</p><section id='social-history'><p>two</p></section>
+    <h2><span id='Notice'>Notice</span></h2><section id='comments'><p>nice!</p></section>
+    <section id='x' class='related'>more</section><div id='share'>share</div></article>"""
+    assert text_of(html) == "Related work\n\none\n\ntwo\n\nNotice"
+
+
 def matched(a, b):
     ra, rb = wrapper.parse(a), wrapper.parse(b)
     wrapper.nodes(ra), wrapper.nodes(rb)
