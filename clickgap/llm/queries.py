@@ -146,16 +146,17 @@ TOOLS = [
 
 def tool_conversations(conversations: DataFrame) -> DataFrame:
     """Stand-in messages: each assistant turn makes one or two calls whose
-    arguments come from its text (some against the schema, the second using
-    the first), and each later user turn is taken for the result of an
+    string argument is its whole text (some against the schema, the second
+    using the first), and each later user turn is taken for the result of an
     earlier call. Only the input schema of the operator; nothing is linked,
     ordered or checked here."""
     t = F.coalesce("text", F.lit(""))
     me = F.concat(F.lit("c"), F.col("turn").cast("string"))
     size = F.length(t)
-    args = F.when(size % 3 == 0, F.to_json(F.struct(F.substring(t, 1, 30).alias("query"), (size % 20).alias("limit")))) \
-        .when(size % 3 == 1, F.to_json(F.struct((size / 8).alias("value"), F.substring(t, 2, 5).alias("unit")))) \
-        .otherwise(F.to_json(F.struct((size % 5 > 1).alias("strict"), F.when(size % 7 > 0, F.substring(t, 3, 9)).alias("key"))))
+    args = F.when(size % 3 == 0, F.to_json(F.struct(t.alias("query"), (size % 20).alias("limit")))) \
+        .when(size % 3 == 1, F.to_json(F.struct((size / 8).alias("value"), t.alias("unit")))) \
+        .otherwise(F.to_json(F.struct((size % 5 > 1).alias("strict"), F.when(size % 7 > 0, t).alias("key"),
+                                      F.when(size % 7 == 0, t).alias("word"))))   # against the schema: no key
     name = F.element_at(F.array(F.lit("search"), F.lit("convert"), F.lit("lookup")), (size % 3 + 1).cast("int"))
     first = F.struct(me.alias("id"), name.alias("name"), args.alias("arguments"))
     second = F.struct(F.concat(me, F.lit("b")).alias("id"), F.lit("search").alias("name"),

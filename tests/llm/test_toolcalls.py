@@ -141,3 +141,18 @@ def test_links_levels_errors_and_json(spark):
 
 def test_table(spark):
     check(spark, queries.tool_conversations(spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")))
+
+
+def test_whole_texts_reach_the_result(spark):
+    """Texts that differ only behind their start, with quotes, newlines and
+    escapes there; every assistant text is whole in its call."""
+    rows = []
+    for n in range(60, 66):
+        for i, tail in enumerate(['"q"', "\\\\n", "a\nb", "\té/", "{1:", "\U0001f600$x"]):
+            rows.append((10 * n + i, 1, "assistant", ("same start of all " * 5)[:n] + tail))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    messages = queries.tool_conversations(df)
+    check(spark, messages)
+    out = toolcalls.link(messages, spark.createDataFrame(queries.TOOLS, SCHEMAS)).where("call_id = 'c1'").collect()
+    got = {r.conv_id: list(json.loads(r.json)["arguments"].values()) for r in out}
+    assert all(t in got[c] for c, _, _, t in rows)
