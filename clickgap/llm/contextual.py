@@ -3,11 +3,14 @@ contextual extraction, in DataFrame functions only.
 
 ``base_spans`` finds the four fixed kinds by expression and check.
 
-Bootstrapping: every identifier-like mention (a base span, or a token with
-a digit) is an instance; the words around its occurrences are lexical
-patterns (the two words before it; the word before with the word after).
-Base values are seeds with score 1 for their kind. Rounds then score the
-pattern-instance graph:
+Bootstrapping: the words around a mention are lexical patterns (the two
+words before it; the word before with the word after). Base values are
+seeds with score 1 for their kind. Patterns with SUPPORT distinct seeds are
+applied to every text: identifier-like mentions (numbers, tokens with a
+digit) and whichever other word fills their slot, of any characters and
+length, are the unseen instances. Brackets and quotes that open a word and
+punctuation that ends it count as the words around; a word that opens with
+a bracket is also read whole. Rounds then score the pattern-instance graph:
 
   pattern confidence = mean score of its distinct instances,
   instance score     = 1 - product of (1 - confidence) over its other
@@ -17,8 +20,9 @@ and after ROUNDS rounds, occurrences of unseen instances in a pattern of
 confidence >= LEAST become spans of that kind. A pattern must therefore
 hold mostly known identifiers before it says anything about others.
 
-Scale: documents are read twice and never shuffled for it; what is
-exchanged is one row per mention, pre-aggregated by pattern and instance.
+Scale: documents are read three times and never shuffled for it; what is
+exchanged is one row per mention or filled slot, pre-aggregated by pattern
+and instance.
 The only sides joined back are patterns with SUPPORT seeds, and joins are
 plain equi-joins that split when skewed.
 
@@ -55,7 +59,10 @@ ROUNDS = 3
 SUPPORT = 3         # distinct seeds that a pattern must hold
 LEAST = 0.8         # confidence that accepts a pattern
 BLOCK = 128         # matches whose positions are gathered at once
-REACH = 80          # characters looked at for the words around a mention
+CELL = 64           # characters of a cell in which spans are compared
+OPENS = "<([{\"'"
+STOPS = ",.;:!?"     # these end a word, and closing brackets if one opens it
+CLOSES = ">)]}\"'"
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -133,29 +140,95 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = df.withColumn("found", matches(F.col("text"), any_of)).withColumn(
         "between", F.split("text", any_of, -1)).select(
         "row_key", F.posexplode_outer("found").alias("i", "m"), "between").where("m IS NOT NULL")
-    left = F.expr(f"lower(substring(try_element_at(between, i + 1), -{REACH}, {REACH}))")
-    right = F.expr(f"lower(substring(try_element_at(between, i + 2), 1, {REACH}))")
+    df = df.select("row_key", "m", F.expr("reverse(try_element_at(between, i + 1))").alias("left"),
+                   F.expr("try_element_at(between, i + 2)").alias("right"))
+    # anchored, on the reversed text: long gaps and words cost their length
     df = df.select("row_key", "m.start", "m.end", "m.value",
-                   F.regexp_extract(left, r"(\S+)\s+(\S+)\s*$", 1).alias("l2"),
-                   F.regexp_extract(left, r"(\S+)\s*$", 1).alias("l1"),
-                   F.regexp_extract(right, r"^\s*(\S+)", 1).alias("r1"))
+                   F.lower(F.reverse(F.regexp_extract("left", r"^\s*+\S++\s++(\S++)", 1))).alias("l2"),
+                   F.lower(F.reverse(F.regexp_extract("left", r"^\s*+(\S++)", 1))).alias("l1"),
+                   F.lower(F.regexp_extract("right", r"^\s*+(\S++)", 1)).alias("r1"))
     kind = F.lit(None).cast("string")
     for k in reversed(KINDS):
         kind = F.when(F.col("value").rlike(f"^(?:{_PATTERN[k]})$") & valid(k, F.col("value")), F.lit(k)).otherwise(kind)
-    pats = F.filter(F.array(
+    return df.select("row_key", "start", "end", "value", kind.alias("kind"), _patterns().alias("patterns"))
+
+
+def _patterns() -> Column:
+    """The patterns of the words l2, l1 and r1 around a slot."""
+    return F.filter(F.array(
         F.when((F.col("l2") != "") & (F.col("l1") != ""), F.concat(F.lit("before: "), "l2", F.lit(" "), "l1")),
         F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("around: "), "l1", F.lit(" _ "), "r1"))),
         lambda p: p.isNotNull())
-    return df.select("row_key", "start", "end", "value", kind.alias("kind"), pats.alias("patterns"))
+
+
+def seeded(found: DataFrame, support: int) -> DataFrame:
+    """(pattern, for_kind) of the patterns with ``support`` distinct seeds."""
+    edges = found.where("kind IS NOT NULL").select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
+    able = edges.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(f"seeds >= {support}")
+    return able.select("pattern", F.col("kind").alias("for_kind"))
+
+
+def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataFrame:
+    """Words that fill a slot of the patterns ``able``, in the columns of
+    ``mentions`` with a null kind."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), matches(text, r"\S++").alias("w"))
+    w = F.col("w")
+    df = df.select("row_key", F.explode(F.transform(w, lambda x, i: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
+        F.get(w, i - 2)["value"].alias("l2"), F.get(w, i - 1)["value"].alias("l1"),
+        F.get(w, i + 1)["value"].alias("r1")))).alias("x")).select("row_key", "x.*")
+
+    def trimmed(v, side, chars):
+        fn = F.ltrim if side == "left" else F.rtrim
+        return fn(v, F.lit(chars))
+    df = df.withColumn("rest", trimmed(F.col("value"), "left", OPENS))
+    df = df.withColumn("core", F.when(F.col("rest") == F.col("value"), trimmed(F.col("rest"), "right", STOPS))
+                       .otherwise(trimmed(F.col("rest"), "right", STOPS + CLOSES)))
+    n_pre = F.length("value") - F.length("rest")
+    pre, post = F.expr("substring(value, 1, length(value) - length(rest))"), F.expr("substring(rest, length(core) + 1)")
+    names = ("start", "end", "value", "l2", "l1", "r1")
+
+    def reading(*cols):
+        return F.struct(*[c.alias(n) for c, n in zip(cols, names)])
+    whole = reading(*[F.col(n) for n in names])
+    opened = F.col("rest") != F.col("value")
+    core = reading(F.col("start") + n_pre, F.col("start") + n_pre + F.length("core"), F.col("core"),
+                   F.when(opened, F.col("l1")).otherwise(F.col("l2")), F.when(opened, pre).otherwise(F.col("l1")),
+                   F.when(post != "", post).otherwise(F.col("r1")))
+    df = df.select("row_key", F.explode(F.when(F.col("core") == "", F.array(whole)).when(opened, F.array(core, whole))
+                                        .otherwise(F.array(core))).alias("x")).select("row_key", "x.*")
+    df = df.select("row_key", "start", "end", "value", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in names[3:]])
+    # the word before the slot first: few words pass it
+    part = F.split("pattern", " ")
+    near = able.select(F.when(F.col("pattern").startswith("before: "), F.get(part, F.lit(2))).otherwise(
+        F.get(part, F.lit(1))).alias("l1")).distinct()
+    df = df.join(near, "l1", "left_semi").select("row_key", "start", "end", "value", F.explode(_patterns()).alias("pattern"))
+    return df.join(able.select("pattern").distinct(), "pattern", "left_semi") \
+        .select("row_key", "start", "end", "value", F.lit(None).cast("string").alias("kind"),
+                F.array("pattern").alias("patterns"))
+
+
+def instances(docs: DataFrame, id_col: str, text_col: str, support: int) -> DataFrame:
+    """``mentions`` and ``slots`` together; a word that holds a seed, or is
+    a part of a longer mention, is no instance of its own."""
+    found = stage(mentions(docs, id_col, text_col))
+    able = stage(seeded(found, support))
+    filled = stage(slots(docs, id_col, text_col, able))
+    cell = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)))
+    a = filled.select("row_key", "start", "end", cell.alias("cell")).distinct().alias("a")
+    b = found.select("row_key", "start", "end", "kind", cell.alias("cell")).alias("b")
+    taken = a.join(b, F.expr("a.row_key = b.row_key AND a.cell = b.cell AND a.start < b.end AND b.start < a.end AND "
+                             "(b.kind IS NOT NULL OR b.start < a.start OR b.end > a.end)"), "left_semi") \
+        .select("row_key", "start", "end").distinct()
+    return stage(found.unionByName(filled.join(taken, ["row_key", "start", "end"], "left_anti")))
 
 
 def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind, confidence) after scoring the graph of the distinct
     (pattern, value) pairs of ``found``."""
     edges = found.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    able = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")) \
-        .where(f"seeds >= {support}")
-    able = stage(able.select("pattern", F.col("kind").alias("for_kind")))
+    able = stage(seeded(found, support))
     # edges of patterns that can say something, once for each kind they may mean
     edges = stage(edges.join(able, "pattern"))
     score = F.when(F.col("kind") == F.col("for_kind"), 1.0).otherwise(0.0)
@@ -179,11 +252,12 @@ def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
 def discovered(docs: DataFrame, id_col: str, text_col: str, rounds: int = ROUNDS,
                support: int = SUPPORT, least: float = LEAST) -> DataFrame:
     """(row_key, kind, start, end) of the spans that contexts add."""
-    found = stage(mentions(docs, id_col, text_col))
+    found = instances(docs, id_col, text_col, support)
     good = stage(scored_patterns(found, rounds, support).where(F.col("confidence") >= least))
     unseen = found.where("kind IS NULL").select("row_key", "start", "end", F.explode("patterns").alias("pattern"))
     return unseen.join(good, "pattern").groupBy("row_key", "start", "end") \
-        .agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"))
+        .agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind")) \
+        .groupBy("row_key", "start", "kind").agg(F.max("end").alias("end"))     # the longest reading at a place
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,

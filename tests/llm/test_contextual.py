@@ -55,6 +55,30 @@ def test_contexts_find_unseen_identifiers_and_leave_the_rest(spark):
     assert all(got[i] == f"email:16:{16 + len(s)}" for i, s in enumerate(seeds))
 
 
+def test_any_token_fills_the_slot_of_a_pattern(spark):
+    """Unseen values of any characters and length, in contexts of any length."""
+    long = "k" * 300
+    seeds = ["ann@x.org", "bob@y.org", "cyd@z.org", "dan@q.org", "eva@q.org", "fay@q.org", "gus@q.org", "hal@q.org"]
+    values = ["eve1(at)w", "jane(at)corp.com", "jane@localhost", "fe80::1:2", "x7", "user123(at)corp.com", "t" * 100 + "9"]
+    rows = [(i, f"please write {long} {s} today") for i, s in enumerate(seeds)]
+    rows += [(100 + i, f"please write {long} {v} today") for i, v in enumerate(values)]
+    rows += [(200, f"please write {'j' * 5 + long[5:]} other today"), (201, f"please write {long} (nobody), then"),
+             (202, "plain words only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in contextual.extract(docs, least=0.4).select(
+        "doc_id", contextual.span_text(F.col("spans")).alias("s")).collect()}
+    at = len("please write ") + 301
+    assert all(got[i] == f"email:{at}:{at + len(s)}" for i, s in enumerate(seeds))
+    assert all(got[100 + i] == f"email:{at}:{at + len(v)}" for i, v in enumerate(values))
+    assert got[200] == got[202] == "" and got[201] == f"email:{at}:{at + 9}"
+    # the planted value of the bootstrapping test
+    few = [(i, f"please write to {s} today") for i, s in enumerate(seeds[:4])]
+    few += [(10, "please write to eve1(at)w today"), (11, "please write to frank77 today")]
+    got = {r.doc_id: r.s for r in contextual.extract(spark.createDataFrame(few, "doc_id long, text string"), least=0.6)
+           .select("doc_id", contextual.span_text(F.col("spans")).alias("s")).collect()}
+    assert got[10] == "email:16:25" and got[11] == "email:16:23"
+
+
 def test_base_spans_stay_and_sort(odd_docs):
     for r in contextual.extract(odd_docs).select("base", "spans").collect():
         assert set(map(str, r.base)) <= set(map(str, r.spans))
