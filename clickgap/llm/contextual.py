@@ -70,8 +70,12 @@ _SPANS = "array<struct<start:int,end:int,value:string>>"
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value) in
     code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+
+
+def placed(found: Column, between: Column) -> Column:
+    """``matches`` from the matched values and the text between them. Each
+    block evaluates both anew, so many matches want them as columns."""
     none = F.array().cast(_SPANS)
 
     def add(acc, m):
@@ -172,7 +176,10 @@ def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataF
     """Words that fill a slot of the patterns ``able``, in the columns of
     ``mentions`` with a null kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), matches(text, r"\S++").alias("w"))
+    df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
+                     F.regexp_extract_all(text, F.lit(r"\S++"), F.lit(0)).alias("found"),
+                     F.split(text, r"\S++", -1).alias("between"))
+    df = df.select("row_key", placed(F.col("found"), F.col("between")).alias("w"))
     w = F.col("w")
     df = df.select("row_key", F.explode(F.transform(w, lambda x, i: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
