@@ -95,6 +95,13 @@ def test_constant_nodes_are_template(spark):
     assert all(got[100 + i] == "Same story\n\neverywhere" for i in range(20))     # copies prove nothing
 
 
+def test_ids_of_a_page_do_not_break_the_alignment(spark):
+    rows = [(i, f"http://h.com/{i}", f"<div id='post-{i}'><p>Welcome to our site</p><p>Story {i}</p></div>", None, None)
+            for i in range(20)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, PAGE)).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(20))
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, "a", "b"), (2, "http://x.org", "", None, None), (None, "odd", "<p>q</p>", None, None),
             (3, "//user@X.org:80/a?b", "<p>" + "w " * 200_000 + "</p>", None, None), (3, "", "<p>again</p>", None, None),
