@@ -135,6 +135,7 @@ def effort_counts(effort: DataFrame) -> DataFrame:
 
 
 _NULLS = {"ignoreNullFields": "false"}
+MD_DIGITS = 9       # places kept of a sum or mean before it is printed
 
 
 def brief_json(cluster: DataFrame, page_all: DataFrame, client: str, brand_terms,
@@ -178,12 +179,16 @@ def _fixed(col: str, digits: int):
 
 def brief_markdown(page_all: DataFrame, client: str) -> DataFrame:
     """Markdown brief: title, heading, table of the top 20 pages
-    (slug, opportunity '.0f', position '.1f', rounded as Python formats)."""
-    rows = top_pages(page_all).select(
+    (slug, opportunity '.0f', position '.1f', rounded as Python formats).
+    Sums and means are first rounded to MD_DIGITS places: their last bits
+    depend on the order of summation, and a mean of tenths often lies on the
+    edge between two printed tenths."""
+    shown = {f"_{c}": F.round(c, MD_DIGITS) for c in ("opportunity_clicks", "avg_position")}
+    rows = top_pages(page_all).withColumns(shown).select(
         F.col("opportunity_clicks").alias("o"), "page",
         F.concat(F.lit("| "), F.concat_ws(" | ", _cell(F.col("slug")),
-                                          _cell(_fixed("opportunity_clicks", 0)),
-                                          _cell(_fixed("avg_position", 1))),
+                                          _cell(_fixed("_opportunity_clicks", 0)),
+                                          _cell(_fixed("_avg_position", 1))),
                  F.lit(" |")).alias("line"))
     body = rows.agg(F.sort_array(F.collect_list(F.struct((-F.col("o")).alias("k"), "page", "line"))).alias("l"))
     head = f"# SEO Brief: {client}\n\n## Top Opportunities\n| Page | Opp Clicks | Pos |\n| --- | --- | --- |\n"

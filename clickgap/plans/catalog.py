@@ -600,8 +600,8 @@ def brief_json(spark, sf):
 SELECT '# SEO Brief: Client' || chr(10) || chr(10) || '## Top Opportunities' || chr(10)
        || '| Page | Opp Clicks | Pos |' || chr(10) || '| --- | --- | --- |' || chr(10)
        || string_agg('| ' || CASE WHEN length(slug) <= 80 THEN slug ELSE left(slug, 79) || '…' END || ' | '
-                     || coalesce(format('{:.0f}', opportunity_clicks), 'nan') || ' | '
-                     || coalesce(format('{:.1f}', avg_position), 'nan') || ' |', chr(10)
+                     || coalesce(format('{:.0f}', round(opportunity_clicks, 9)), 'nan') || ' | '
+                     || coalesce(format('{:.1f}', round(avg_position, 9)), 'nan') || ' |', chr(10)
                      ORDER BY opportunity_clicks DESC, page) AS markdown
 FROM (SELECT * FROM pall ORDER BY opportunity_clicks DESC, page LIMIT 20)"""))
 def brief_markdown(spark, sf):

@@ -197,6 +197,14 @@ def test_brief_number_format_matches_python(spark):
         assert [r[0] for r in df.select(_fixed("x", d)).collect()] == [f"{v:.{d}f}" for v in vals]
 
 
+def test_brief_prints_an_edge_the_same_whatever_the_order_of_summation(spark):
+    from clickgap.operators.report import brief_markdown
+    rows = [("p1", "a", 9.0, 15.75), ("p2", "b", 8.0, 15.749999999999998), ("p3", "c", 2.5000000000000004, 0.1)]
+    df = spark.createDataFrame(rows, "page string, slug string, opportunity_clicks double, avg_position double")
+    text = brief_markdown(df, "c").first()[0]
+    assert text.splitlines()[-3:] == ["| a | 9 | 15.8 |", "| b | 8 | 15.8 |", "| c | 2 | 0.1 |"]
+
+
 def test_unparsable_and_missing_urls(spark):
     from clickgap.functions.text import url_slug, url_tokens
     urls = ["http://[bad/path-one", None, "https://[::1]/a-b", "http://x.org/" + "y" * 80]
