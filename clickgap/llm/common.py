@@ -18,7 +18,7 @@ from ..session import checkpoint_dir, ship_package
 
 __all__ = ["stage", "table", "fresh", "row_key", "ship_package", "prepare",
            "ascii_lower", "WHITE", "word_spans", "word_hashes", "mix64",
-           "segment_ids"]
+           "letter_spans", "segment_ids"]
 
 #: white space of the word rule, as a set for byte tables
 WHITE = (9, 10, 11, 12, 13, 32)
@@ -140,6 +140,30 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     return h
 
 
+_WORDY = np.zeros(256, dtype=bool)
+_WORDY[48:58] = _WORDY[65:91] = _WORDY[97:123] = True
+_WORDY[128:] = True
+
+
+def letter_spans(data: np.ndarray, bounds: np.ndarray):
+    """Maximal runs of ASCII letters, digits and non-ASCII characters of
+    texts stored back to back: (start, end, text index), as ``word_spans``."""
+    n = len(data)
+    if n == 0:
+        z = np.zeros(0, dtype=np.int64)
+        return z, z, z
+    solid = _WORDY[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    cut = bounds[:-1][bounds[:-1] < n]
+    first[cut] = solid[cut]
+    end = bounds[1:][bounds[1:] > 0] - 1
+    last[end] = solid[end]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(bounds, starts, side="right") - 1
+
+
 def segment_ids(counts: np.ndarray) -> np.ndarray:
     """0,0,..,1,1,.. with counts[i] copies of i."""
     return np.repeat(np.arange(len(counts)), counts)

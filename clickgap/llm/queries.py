@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, vamana, winnow, wrapper
+from . import (contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, toxconv, vamana, winnow,
+               wrapper)
 from .common import table
 
 
@@ -188,6 +189,17 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         contextual.span_text(F.col("spans")).alias("spans"))
 
 
+def op13_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a quarter of the labels, by the checksum
+    of the id, is held out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxconv.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxconv.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "threshold", "toxic")
+
+
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_wrapper_induction": op2_wrapper_induction,
@@ -199,6 +211,7 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_tool_links": op9_tool_links,
     "op10_contextual_pii": op10_contextual_pii,
+    "op13_convolutional_toxicity": op13_convolutional_toxicity,
 }
 
 ORACLES = {
