@@ -45,8 +45,8 @@ LEADS = (4, 5, 6)       # leading bytes of longer words that have an embedding t
 DIM = 8                 # numbers of a word vector
 WIDTHS = (1, 2, 3)      # words under a filter
 FILTERS = 8             # filters of each width
-SAMPLE = 12_000         # largest number of labelled documents that fit the model
-EPOCHS = 15
+SAMPLE = 8_000          # largest number of labelled documents that fit the model
+EPOCHS = 10
 BATCH = 256             # documents a step
 RATE = 0.02             # Adam step
 DECAY = 1e-4            # weight penalty
@@ -234,33 +234,45 @@ class Model:
         return sigmoid(self.a * self.net.logits(*known, len(bounds) - 1) + self.b)
 
 
-def fit_arrays(owner, number, places, label, lang, check) -> Model | None:
+def known_places(chunks, label, learn) -> np.ndarray:
+    """Places that MIN_DOCS of the ``learn`` texts hold and whose share of
+    the label is off by SCREEN standard errors. ``chunks()`` gives (owner,
+    number, places) of runs of whole texts."""
+    held, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for owner, _, places in chunks():
+        for j in range(places.shape[1]):
+            use = (places[:, j] >= 0) & learn[owner]
+            pair = np.unique((places[use, j] << 32) | owner[use])
+            place, doc = pair >> 32, pair & 0xFFFFFFFF
+            held += np.bincount(place, minlength=1 << BITS)
+            toxic += np.bincount(place, weights=label[doc], minlength=1 << BITS)
+    share = label[learn].mean()
+    return np.flatnonzero((held >= MIN_DOCS)
+                          & (np.abs(toxic - held * share) >= SCREEN * np.sqrt(held * share * (1 - share))))
+
+
+def fit_chunks(chunks, label, lang, check) -> Model | None:
     """Model from the words of the sample texts (in text order), their
-    labels and languages; ``check`` marks the texts kept for calibration."""
-    n = len(label)
+    labels and languages; ``check`` marks the texts kept for calibration.
+    Two passes over the texts: places, then words with a known one."""
     learn = ~check
     if len(np.unique(label[learn])) < 2:
         return None
-    flat = places.ravel()
-    of = np.repeat(owner, places.shape[1])
-    use = (flat >= 0) & learn[of]
-    pair = np.unique((flat[use] << 32) | of[use])
-    place, doc = pair >> 32, pair & 0xFFFFFFFF
-    held = np.bincount(place, minlength=1 << BITS)
-    toxic = np.bincount(place, weights=label[doc], minlength=1 << BITS)
-    share = label[learn].mean()
-    off = np.abs(toxic - held * share)
-    known = np.flatnonzero((held >= MIN_DOCS) & (off >= SCREEN * np.sqrt(held * share * (1 - share))))
+    known = known_places(chunks, label, learn)
     row_of = np.zeros(1 << BITS, dtype=np.int32)
     row_of[known] = np.arange(1, len(known) + 1)
-    text, number, rows = known_words(owner, number, places, row_of)
-    new = np.cumsum(learn) - 1
-    mine = learn[text]
-    net = train(new[text[mine]], number[mine], rows[mine], label[learn].astype(np.float64), row_of, len(known) + 1)
-    logit = net.logits(text, number, rows, n)
-    held_out = check if len(np.unique(label[check])) == 2 else np.ones(n, dtype=bool)
-    a, b = platt(logit[held_out], label[held_out])
-    s, y, z = sigmoid(a * logit[held_out] + b), label[held_out], lang[held_out]
+    words = [known_words(*c, row_of) for c in chunks()]
+    text, number, rows = (np.concatenate(x) for x in zip(*words))
+
+    def part(mask):
+        mine = mask[text]
+        return (np.cumsum(mask) - 1)[text[mine]], number[mine], rows[mine]
+    net = train(*part(learn), label[learn].astype(np.float64), row_of, len(known) + 1)
+    held_out = check if len(np.unique(label[check])) == 2 else learn
+    logit = net.logits(*part(held_out), int(held_out.sum()))
+    y, z = label[held_out], lang[held_out]
+    a, b = platt(logit, y)
+    s = sigmoid(a * logit + b)
     by_lang = {c: best_threshold(s[z == c], y[z == c]) for c in sorted(set(z) - {""}) if y[z == c].sum() >= FEW}
     return Model(net, a, b, best_threshold(s, y), by_lang)
 
@@ -277,16 +289,16 @@ def _fit_task(batches):
     column = pa.chunked_array(rows.column("text").chunks).combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    parts, at = [], 0
-    for lo, hi, data, bounds in text_chunks(column):
-        owner, number, places = word_places(data, bounds)
-        parts.append((owner + at, number, places))
-        at += hi - lo
-    owner, number, places = (np.concatenate(x) for x in zip(*parts))
+
+    def chunks():
+        for lo, hi, data, bounds in text_chunks(column):
+            owner, number, places = word_places(data, bounds)
+            yield owner + lo, number, places
+
     label = rows.column("label").to_numpy().astype(np.int64)
     lang = np.array([x or "" for x in rows.column("lang").to_pylist()], dtype=object)
     check = rows.column("tie").to_numpy() % 4 == 0
-    model = fit_arrays(owner, number, places, label, lang, check)
+    model = fit_chunks(chunks, label, lang, check)
     if model is not None:
         # places as the list of known ones: the table of rows is mostly zero
         net = model.net
