@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, toxconv, vamana, winnow,
-               wrapper)
+from . import (contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, toxconv, triecode, vamana,
+               winnow, wrapper)
 from .common import table
 
 
@@ -189,6 +189,48 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         contextual.span_text(F.col("spans")).alias("spans"))
 
 
+def op11_trie_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings after four rounds, with the errors."""
+    codes, _ = triecode.compress(table(spark, sf_dir, "embeddings"))
+    return codes.drop("label")
+
+
+def op11_sql(rounds: int = triecode.ROUNDS) -> str:
+    """The rounds one after the other, every part against every entry."""
+    ctes = ["""
+kept AS (
+  SELECT vec_id, label, len(embedding) // 4 AS d, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""", """
+part AS MATERIALIZED (
+  SELECT vec_id, p, i - p * d AS j, v[i + 1] AS x
+  FROM (SELECT vec_id, d, v, unnest(range(0, len(v))) AS i, unnest(range(0, len(v))) // d AS p FROM kept))""", """
+book0 AS MATERIALIZED (
+  SELECT p, r AS e, j, x FROM part JOIN
+    (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM kept) USING (vec_id) WHERE r < 256)"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT vec_id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist
+  FROM (SELECT a.vec_id, a.p, b.e, CAST(sum((a.x - b.x) * (a.x - b.x)) AS BIGINT) AS dist
+        FROM part a JOIN book{k} b ON a.p = b.p AND a.j = b.j GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            ctes.append(f"""
+book{k + 1} AS MATERIALIZED (
+  SELECT p, e, j, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN
+    (SELECT n.p, n.e, a.j, CAST(sum(a.x) AS BIGINT) // count(*)
+            - CASE WHEN CAST(sum(a.x) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS x
+     FROM near{k} n JOIN part a USING (vec_id, p) GROUP BY ALL) m USING (p, e, j))""")
+    return "WITH " + ",".join(ctes) + f""",
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', n.e), '' ORDER BY n.p) AS code, CAST(sum(n.dist) AS BIGINT) AS error
+  FROM kept k JOIN near{rounds} n USING (vec_id) GROUP BY ALL)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) FROM book{rounds}) AS codebooks_sha256
+FROM coded
+"""
+
+
 def op13_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a quarter of the labels, by the checksum
     of the id, is held out of the fit."""
@@ -211,10 +253,12 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_tool_links": op9_tool_links,
     "op10_contextual_pii": op10_contextual_pii,
+    "op11_trie_codes": op11_trie_codes,
     "op13_convolutional_toxicity": op13_convolutional_toxicity,
 }
 
 ORACLES = {
     "op7_poisson_mix": OP7_SQL,
     "op8_winnowing": OP8_SQL,
+    "op11_trie_codes": op11_sql(),
 }
