@@ -199,9 +199,9 @@ def op11_sql(rounds: int = triecode.ROUNDS) -> str:
     """The rounds one after the other, every part against every entry."""
     ctes = ["""
 kept AS (
-  SELECT vec_id, label, len(embedding) // 4 AS d, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, label, len(embedding) // 4 AS d, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""", """
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""", """
 part AS MATERIALIZED (
   SELECT vec_id, p, i - p * d AS j, v[i + 1] AS x
   FROM (SELECT vec_id, d, v, unnest(range(0, len(v))) AS i, unnest(range(0, len(v))) // d AS p FROM kept))""", """

@@ -296,7 +296,7 @@ def compress(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
             books = assign_round(parts, books)
     number = "decimal(38,0)" if dtype is object else "long"
     rows = stage(encode(vectors, books).withColumn("error", F.expr(f"try_cast(error AS {number})")))
-    sums = rows.groupBy("label").agg(F.sum("error").cast(number).alias("label_error"))
+    sums = rows.groupBy("label").agg(F.try_sum("error").cast(number).alias("label_error"))
     sums = stage(sums)
     if sums.limit(FEW_LABELS + 1).count() <= FEW_LABELS:
         sums = F.broadcast(sums)
