@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, toxconv, triecode, vamana,
+from . import (balltree, contextual, hilbert, ordinal, poisson, rlz, sketch, toolcalls, toxconv, triecode, vamana,
                winnow, wrapper)
 from .common import table
 
@@ -231,6 +231,37 @@ FROM coded
 """
 
 
+def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return balltree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r, len(t) AS n, t
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents)),
+item AS (
+  SELECT item_id, row_number() OVER () AS i, unnest(t) AS term
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)),
+total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM doc WHERE n > 0),
+tf AS (
+  SELECT r, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, n, unnest(t) AS term FROM doc)
+  WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+score AS (
+  SELECT i.item_id, i.i, t.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM item i JOIN weight USING (term) JOIN tf t USING (term), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM score JOIN doc USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def op13_convolutional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a quarter of the labels, by the checksum
     of the id, is held out of the fit."""
@@ -254,6 +285,7 @@ QUERIES = {
     "op9_tool_links": op9_tool_links,
     "op10_contextual_pii": op10_contextual_pii,
     "op11_trie_codes": op11_trie_codes,
+    "op12_ball_tree_search": op12_ball_tree_search,
     "op13_convolutional_toxicity": op13_convolutional_toxicity,
 }
 
@@ -261,4 +293,5 @@ ORACLES = {
     "op7_poisson_mix": OP7_SQL,
     "op8_winnowing": OP8_SQL,
     "op11_trie_codes": op11_sql(),
+    "op12_ball_tree_search": OP12_SQL,
 }
