@@ -3,8 +3,8 @@ A6, A7, P31-P34, U1).
 
 Match: one TF-IDF (1-3-grams, no pruning) over cluster texts and page
 texts together; scores come from an inverted-index join on shared terms,
-so only positive pairs exist, and frequent terms are pruned by a bound
-(``match_scores``). The best page on all-zero scores is the
+so only positive pairs exist, in rounds from rare to frequent terms that
+stop by a bound (``match_scores``). The best page on all-zero scores is the
 first page, so the first two pages by ``page_ord`` join every cluster
 with score 0 (two literal page ids); then ``row_number`` by (score desc,
 page_ord) picks primary (1) and runner-up (2). Two fillers suffice: either
@@ -41,13 +41,15 @@ def match_scores(cl: DataFrame, pages: DataFrame, rare_df: int = 1000) -> DataFr
     """(ckey, page_ord, score) holding every pair that can reach a cluster's
     top two, with exact scores.
 
-    Pairs sharing a *rare* term (on at most ``rare_df`` pages) are scored
-    first, so each cluster term fans out to a bounded number of pages. What
-    frequent terms can still add to any page is bounded per cluster by
-    sum(w_c * max page weight). A cluster whose bound is below its
-    second-best partial score has its top two among the rare-term
-    candidates (their exact score only grows); only clusters without that
-    margin are scored against every page sharing a term.
+    Rounds over the term lists, rare ones first. Round 0 joins the terms of
+    at most ``rare_df`` pages, so each cluster term meets a bounded number
+    of pages. The lists of the other terms are cut by impact: list part j
+    holds the pages where the term's weight is in [2^-(j+1), 2^-j). Round
+    j + 1 takes part j of all of them. A page that a cluster has not met
+    after that weighs less than 2^-(j+1) in each of these terms, so its score
+    is below sum(w_c * min(largest weight, 2^-(j+1))); a cluster whose
+    second-best score is above this bound stops. A page once met gets its
+    exact score by lookup (in round 0 only if it can still be second).
     """
     docs = (cl.select(F.lit("c").alias("side"), F.col("ckey").alias("doc"), F.col("cluster_text").alias("text"))
               .unionByName(pages.select(F.lit("p").alias("side"), F.col("page_ord").cast("string").alias("doc"),
@@ -58,29 +60,53 @@ def match_scores(cl: DataFrame, pages: DataFrame, rare_df: int = 1000) -> DataFr
     cw = w.filter(F.col("doc").startswith("c:")).select(F.expr("substring(doc, 3)").alias("ckey"), "term", "w")
     pw = w.filter(F.col("doc").startswith("p:")).select(F.expr("substring(doc, 3)").cast("long").alias("page_ord"),
                                                         "term", "w")
-    tstat = pw.groupBy("term").agg(F.count("*").alias("pdf"), F.max("w").alias("maxw"))
-    rare = tstat.filter(F.col("pdf") <= rare_df).select("term")
-    cw_rare = cw.join(rare, "term", "left_semi")
-    partial = materialize(dot_products(cw_rare, pw.join(rare, "term", "left_semi"), "ckey", "page_ord"))
-    # per cluster: bound on the frequent-term part, second-best partial score
-    bound = (cw.join(tstat.filter(F.col("pdf") > rare_df), "term")
-               .groupBy("ckey").agg(F.sum(F.col("w") * F.col("maxw")).alias("ub")))
+    frequent = materialize(pw.groupBy("term").agg(F.count("*").alias("pdf"), F.max("w").alias("maxw"))
+                             .where(F.col("pdf") > rare_df).select("term", "maxw"))
+    if frequent.isEmpty():
+        return dot_products(cw, pw, "ckey", "page_ord")
+    partial = materialize(dot_products(cw.join(frequent, "term", "left_anti"), pw.join(frequent, "term", "left_anti"),
+                                       "ckey", "page_ord"))
+    lists = materialize(pw.join(frequent.select("term"), "term").withColumn("part", F.floor(-F.log2("w")).cast("int")))
+    terms = materialize(cw.join(frequent, "term"))
+
+    def bound(top: float) -> DataFrame:
+        """Per cluster: what unmet pages can score with weights up to ``top``."""
+        return terms.groupBy("ckey").agg(F.sum(F.col("w") * F.least("maxw", F.lit(top))).alias("rest"))
+
+    def running(met: DataFrame, top: float) -> DataFrame:
+        """Clusters whose bound is not below their second-best score; equal
+        scores (to 12 places) go by page order, so those go on."""
+        second = _second(met)
+        return bound(top).join(second, "ckey", "left") \
+            .where(F.col("rest") >= F.coalesce("second", F.lit(0.0)) - 1e-9).select("ckey")
+
+    hopeful = partial.join(bound(1.0), "ckey", "left").join(_second(partial), "ckey", "left") \
+        .where(F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("second", F.lit(0.0)) - 1e-9)
+    more = (hopeful.select("ckey", "page_ord").join(terms.select("ckey", "term", F.col("w").alias("wc")), "ckey")
+                   .join(lists.select("page_ord", "term", "w"), ["page_ord", "term"])
+                   .groupBy("ckey", "page_ord").agg(F.sum(F.col("wc") * F.col("w")).alias("more")))
+    met = materialize(hopeful.join(more, ["ckey", "page_ord"], "left")
+                             .select("ckey", "page_ord", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")))
+    parts = sorted(r["part"] for r in lists.select("part").distinct().collect())    # one a power of two
+    top = 1.0
+    for part in parts:
+        active = materialize(running(met, top))
+        if active.isEmpty():
+            break
+        new = (terms.join(active, "ckey", "left_semi").select("ckey", "term")
+                    .join(lists.where(F.col("part") == part).select("term", "page_ord"), "term")
+                    .select("ckey", "page_ord").distinct().join(met, ["ckey", "page_ord"], "left_anti"))
+        exact = (new.join(cw.select("ckey", "term", F.col("w").alias("wc")), "ckey").join(pw, ["page_ord", "term"])
+                    .groupBy("ckey", "page_ord").agg(F.sum(F.col("wc") * F.col("w")).alias("score")))
+        met = met.unionByName(materialize(exact))
+        top = 2.0 ** -(part + 1)
+    return met
+
+
+def _second(scores: DataFrame) -> DataFrame:
+    """(ckey, second): second-best score of each cluster that has two."""
     rank = Window.partitionBy("ckey").orderBy(F.col("score").desc())
-    second = (partial.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") == 2)
-                     .select("ckey", F.col("score").alias("lb2")))
-    resolved = (second.join(bound, "ckey", "left")
-                      .filter(F.coalesce(F.col("ub"), F.lit(0.0)) < F.col("lb2")).select("ckey"))
-    # resolved clusters: exact scores of their candidates only
-    cw_freq = cw.join(rare, "term", "left_anti")
-    cand = partial.join(resolved, "ckey", "left_semi")
-    extra = (cand.select("ckey", "page_ord").join(cw_freq, "ckey")
-                 .join(pw.withColumnRenamed("w", "wp"), ["page_ord", "term"])
-                 .groupBy("ckey", "page_ord").agg(F.sum(F.col("w") * F.col("wp")).alias("extra")))
-    exact_cand = (cand.join(extra, ["ckey", "page_ord"], "left")
-                      .select("ckey", "page_ord", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")))
-    # the others: every page sharing a term
-    rest = dot_products(cw.join(resolved, "ckey", "left_anti"), pw, "ckey", "page_ord")
-    return exact_cand.unionByName(rest)
+    return scores.withColumn("_r", F.row_number().over(rank)).where("_r = 2").select("ckey", F.col("score").alias("second"))
 
 
 def best_two(cl: DataFrame, pages: DataFrame, scores: DataFrame) -> DataFrame:

@@ -1,91 +1,155 @@
 """Cosine similarity joins over TF-IDF long tables.
 
-``similarity_pairs`` finds every pair with cosine > ``min_sim`` inside a
-stratum without materialising all pairs: prefix filtering for cosine
-all-pairs (Bayardo, Ma, Srikant, WWW 2007). Terms of each vector are put
-in a global order per stratum (rarest first); a vector's prefix is the
-terms whose remaining suffix can still contribute ``min_sim`` (bounded by
-its norm and by the terms' largest weights). For unit vectors with
-x.y > min_sim the two prefixes must share a term, so the
-candidate self-join runs on prefix terms only - frequent terms sit in the
-suffixes and never fan out. The prefix part of each dot product is summed
-in that join and the suffix parts are added by lookup, so every candidate
-gets its exact cosine. The result is exact.
+``similarity_pairs`` finds every pair of unit vectors with cosine above
+``min_sim`` inside a stratum without comparing all pairs.
+
+Terms are grouped into levels by the power of two below their document
+frequency, rare ones first. u(x, l) is the norm of vector x from level l on,
+and m(x, l) the sum of its weights there times each term's largest weight.
+What a pair can gain from level l on is at most
+
+    gain(l) = min(u(x, l) * u(y, l), m(x, l), m(y, l)),
+
+so a pair above ``min_sim`` shares a term on a level with gain(l) >=
+``min_sim``. Joined are the terms on levels with gain(l) >= JOINED *
+``min_sim``: frequent terms meet only between vectors that are made of
+frequent terms. (JOINED below 1 joins more and leaves less to bound.)
+
+* Norm buckets: in a term's posting list the vectors are put in buckets by
+  u, each twice as large in u^2 as the one before, and only bucket pairs
+  whose product can reach that gain are join keys.
+* Position bound: a candidate's joined terms are all it shares up to its
+  highest joined level; above it the gain of the next level bounds what is
+  left. Sum plus bound must exceed ``min_sim``; few survive, and those get
+  their exact cosine from the whole vectors.
+* Blocks: a bucket of a list longer than ``block`` is cut into blocks by
+  vector, and each pair of blocks is a join key of its own, so no task reads
+  more of a term than two blocks, whatever its frequency.
+
+Join keys are 64-bit hashes of stratum, term and bucket pair. A collision
+could only add to a candidate's sum, never lose a pair; the exact cosine is
+worked out on the terms themselves.
 
 ``dot_products`` is the plain inverted-index join used by the page match.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clickgap.session import materialize
+
 _EPS = 1e-9
+BLOCK = 1024        # postings of one side that a join key holds
+JOINED = 0.5        # share of min_sim below which what is left of a pair is bounded, not joined
+
+
+def term_levels(weights: DataFrame, strata: list[str], key: str) -> DataFrame:
+    """(_s, key, term, w, lv, maxw, nd): stratum hash, level of the term, its
+    largest weight and the number of vectors that have it."""
+    s = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
+    w = weights.select(s.alias("_s"), key, "term", "w", F.floor(F.log2(F.col("df").cast("double"))).cast("int").alias("lv"))
+    terms = w.groupBy("_s", "term").agg(F.max("w").alias("maxw"), F.count("*").alias("nd"))
+    return w.join(terms, ["_s", "term"])
+
+
+def vector_levels(w: DataFrame, key: str) -> DataFrame:
+    """(_s, key, lv, u, m, next_u, next_m): norm and largest product of the
+    vector from each of its levels on, and from the level after."""
+    levels = w.groupBy("_s", key, "lv").agg(F.sum(F.col("w") * F.col("w")).alias("sq"),
+                                            F.sum(F.col("w") * F.col("maxw")).alias("most"))
+    down = Window.partitionBy("_s", key).orderBy(F.col("lv").desc())
+    here, after = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+
+    def tail(col, over):
+        return F.coalesce(F.sum(col).over(over), F.lit(0.0))
+    return levels.select("_s", key, "lv", F.sqrt(tail("sq", here)).alias("u"), tail("most", here).alias("m"),
+                         F.sqrt(tail("sq", after)).alias("next_u"), tail("most", after).alias("next_m"))
+
+
+def postings(w: DataFrame, levels: DataFrame, key: str, gain: float) -> DataFrame:
+    """(_s, tk, key, w, u, m, next_u, next_m, bucket) of the terms that
+    another vector has, on levels that can give ``gain``."""
+    low = F.lit(gain - _EPS)
+    return (w.where("nd > 1").join(levels.where((F.col("u") >= low) & (F.col("m") >= low)), ["_s", key, "lv"])
+             .select("_s", F.xxhash64("_s", "term").alias("tk"), key, "w", "u", "m", "next_u", "next_m",
+                     # a hair upwards: a norm on the edge counts as above it
+                     F.greatest(F.floor(2 * F.log2(F.col("u") / gain) + 1e-7), F.lit(0)).cast("int").alias("bucket")))
+
+
+def bucket_pairs(gain: float) -> list[tuple[int, int]]:
+    """(lower, upper) buckets whose norms can multiply to ``gain``: bucket k
+    holds norms below gain * 2^((k + 1) / 2)."""
+    last = int(2 * math.log2(1 / gain) + 1e-7)
+    need = 2 * math.log2(1 / gain) - 2
+    return [(j, k) for j in range(last + 1) for k in range(j, last + 1) if j + k > need + 1e-6]
 
 
-def split_prefix(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
-    """weights + ``in_prefix``.
+def block_pairs(post: DataFrame, key: str, gain: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the candidate join. A posting goes to each bucket
+    pair of its bucket and there, where the partner's list is longer than
+    ``block``, to each of the partner's blocks."""
+    pairs = bucket_pairs(gain)
+    last = max(k for _, k in pairs)
+    sizes = (post.groupBy("tk").agg(*[F.count_if(F.col("bucket") == b).alias(f"n{b}") for b in range(last + 1)])
+                 .where(" OR ".join(f"n{b} > {block}" for b in range(last + 1)))
+                 .select("tk", F.array(*[F.greatest(F.ceil(F.col(f"n{b}") / block), F.lit(1)).cast("int")
+                                         for b in range(last + 1)]).alias("blocks")))
+    cut = post.where(F.col("bucket") <= last).join(sizes, "tk", "left") \
+        .withColumn("blocks", F.coalesce("blocks", F.array(*[F.lit(1)] * (last + 1))))
 
-    The suffix of x starting at a term is bounded two ways against any unit
-    y: by its norm (Cauchy-Schwarz) and by sum(x_t * maxw_t), maxw_t being
-    the largest weight of term t in the stratum. A term is in the prefix
-    while the smaller bound of its suffix is still >= min_sim.
-    """
-    maxw = weights.groupBy(*strata, "term").agg(F.max("w").alias("_maxw"))
-    order = Window.partitionBy(*strata, key).orderBy(F.col("df").asc(), F.col("term").asc()) \
-                  .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    suffix_sq = F.sum(F.col("w") * F.col("w")).over(order)
-    suffix_dot = F.sum(F.col("w") * F.col("_maxw")).over(order)
-    bound = F.least(F.sqrt(suffix_sq), suffix_dot)
-    return (weights.join(maxw, strata + ["term"])
-            .withColumn("in_prefix", bound >= F.lit(min_sim - _EPS))
-            .select(*strata, key, "term", "w", "in_prefix"))
+    def side(name, mine, partner):
+        """Rows of one side: ``mine`` is this side's place in the pairs."""
+        of = {b: [p[partner] for p in pairs if p[mine] == b] for b in range(last + 1)}
+        choice = F.lit(None).cast("array<int>")
+        for b, partners in of.items():
+            choice = F.when(F.col("bucket") == b, F.array(*[F.lit(x) for x in partners]).cast("array<int>")).otherwise(choice)
+        rows = cut.withColumn("partner", F.explode(choice)) \
+            .withColumn("here", F.pmod(F.xxhash64(key), F.get("blocks", F.col("bucket"))).cast("int")) \
+            .withColumn("there", F.explode(F.sequence(F.lit(0), F.get("blocks", F.col("partner")) - 1)))
+        low, high = (F.col("bucket"), F.col("partner")) if mine == 0 else (F.col("partner"), F.col("bucket"))
+        lb, rb = (F.col("here"), F.col("there")) if mine == 0 else (F.col("there"), F.col("here"))
+        return rows.select(F.xxhash64("tk", low, high, lb, rb).alias("jk"), F.col("_s").alias(f"s_{name}"),
+                           F.col(key).alias(f"k_{name}"), F.col("w").alias(f"w_{name}"), F.col("bucket").alias(f"b_{name}"),
+                           *[F.col(c).alias(f"{c}_{name}") for c in ("u", "m", "next_u", "next_m")])
+    return side("l", 0, 1), side("r", 1, 0)
 
 
-def prefix_terms(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
-    """(strata, key, term) for the prefix of each vector."""
-    return split_prefix(weights, strata, key, min_sim).filter("in_prefix").select(*strata, key, "term")
+def candidates(post: DataFrame, key: str, min_sim: float, block: int = BLOCK) -> DataFrame:
+    """(_s, a, b), a < b: pairs whose joined products plus the most that
+    the levels above can add exceed ``min_sim``."""
+    left, right = block_pairs(post, key, JOINED * min_sim, block)
+    low = F.lit(JOINED * min_sim - _EPS)
+    # two vectors of one bucket meet from both sides: take one
+    met = left.join(right, "jk").where("s_l = s_r AND (k_l < k_r OR (b_l < b_r AND k_l <> k_r))") \
+        .where((F.col("u_l") * F.col("u_r") >= low) & (F.least("m_l", "m_r") >= low))
+    rest = F.least(F.col("next_u_l") * F.col("next_u_r"), "next_m_l", "next_m_r")
+    return (met.groupBy(F.col("s_l").alias("_s"), F.least("k_l", "k_r").alias("a"), F.greatest("k_l", "k_r").alias("b"))
+               .agg(F.sum(F.col("w_l") * F.col("w_r")).alias("joined"), F.min(rest).alias("rest"))
+               .where(F.col("joined") + F.col("rest") > F.lit(min_sim - _EPS)).select("_s", "a", "b"))
 
 
-def similarity_pairs(weights: DataFrame, strata: list[str], key: str, min_sim: float) -> DataFrame:
+def similarity_pairs(weights: DataFrame, strata: list[str], key: str, min_sim: float,
+                     block: int = BLOCK) -> DataFrame:
     """(strata, a, b, sim) with a < b and sim > min_sim (exact).
 
-    The common terms of a candidate split into three disjoint parts:
-    prefix(a) & prefix(b) - summed while the candidates are generated;
-    suffix(a) & b; prefix(a) & suffix(b). Only the two suffix parts need
-    lookups, and suffixes are short, so verification costs candidates x
-    suffix length instead of candidates x vector length.
-    """
-    from clickgap.session import materialize
-    sp = materialize(split_prefix(weights, strata, key, min_sim))
-    pre = sp.filter("in_prefix")
-    suf = sp.filter(~F.col("in_prefix"))
-    l, r = pre.alias("l"), pre.alias("r")
-    cond = [F.col(f"l.{s}") == F.col(f"r.{s}") for s in strata] + \
-           [F.col("l.term") == F.col("r.term"), F.col(f"l.{key}") < F.col(f"r.{key}")]
-    cand = (l.join(r, cond)
-             .groupBy(*[F.col(f"l.{s}").alias(s) for s in strata],
-                      F.col(f"l.{key}").alias("a"), F.col(f"r.{key}").alias("b"))
-             .agg(F.sum(F.col("l.w") * F.col("r.w")).alias("p1")))
-    cand = materialize(cand)
-    full_b = sp.select(*strata, F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    pre_a = pre.select(*strata, F.col(key).alias("a"), "term", F.col("w").alias("wa"))
-    # suffix(a) & b
-    p2 = (cand.select(*strata, "a", "b")
-              .join(suf.select(*strata, F.col(key).alias("a"), "term", F.col("w").alias("wa")), strata + ["a"])
-              .join(full_b, strata + ["b", "term"])
-              .groupBy(*strata, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p2")))
-    # prefix(a) & suffix(b)
-    p3 = (cand.select(*strata, "a", "b")
-              .join(suf.select(*strata, F.col(key).alias("b"), "term", F.col("w").alias("wb")), strata + ["b"])
-              .join(pre_a, strata + ["a", "term"])
-              .groupBy(*strata, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("p3")))
-    keys = strata + ["a", "b"]
-    sims = (cand.join(p2, keys, "left").join(p3, keys, "left")
-                .select(*keys, (F.col("p1") + F.coalesce("p2", F.lit(0.0))
-                                + F.coalesce("p3", F.lit(0.0))).alias("sim")))
-    return sims.filter(F.col("sim") > F.lit(min_sim))
+    weights: strata, key, term, w (unit vectors, positive), df."""
+    w = materialize(term_levels(weights, strata, key))
+    post = materialize(postings(w, vector_levels(w, key), key, JOINED * min_sim))
+    cand = materialize(candidates(post, key, min_sim, block))
+    shared = w.where("nd > 1")
+    sims = (cand.join(shared.select("_s", F.col(key).alias("a"), "term", F.col("w").alias("wa")), ["_s", "a"])
+                .join(shared.select("_s", F.col(key).alias("b"), "term", F.col("w").alias("wb")), ["_s", "b", "term"])
+                .groupBy("_s", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim"))
+                .where(F.col("sim") > F.lit(min_sim)))
+    if not strata:
+        return sims.select("a", "b", "sim")
+    names = weights.select(*strata, F.xxhash64(*strata).alias("_s")).distinct()
+    return sims.join(names, "_s").select(*strata, "a", "b", "sim")
 
 
 def dot_products(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:

@@ -671,6 +671,18 @@ def document_line_tfidf(spark, sf):
              .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w")))
 
 
+@register("document_line_pairs", W(O.DOC_TFIDF_CTES + O.PAIRS_CTES, """
+SELECT segment, a, b, round(sim, 6) AS sim FROM pairs"""))
+def document_line_pairs(spark, sf):
+    """Every pair of different document lines of a segment with cosine above
+    the linkage cut (long texts: about 90 n-grams each)."""
+    from clickgap.operators import cluster
+    q = enrich.preprocess_queries(X.document_lines(spark, sf), X.FIXTURE_CONFIG)
+    texts = materialize(cluster.text_table(q.select("segment", "row_id", "query_norm")))
+    w, _ = cluster.segment_vectors(texts)
+    return cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold).select("segment", "a", "b", r6("sim").alias("sim"))
+
+
 # ---------------------------------------------------------------------------
 # 8. sources and sinks: written below the shared folder, read back
 # ---------------------------------------------------------------------------
