@@ -169,6 +169,8 @@ KMEANS_FEATURES = 1 << 12
 # Components of at most this many texts are merged as arrays inside a task
 # (three arrays of n x n doubles); larger ones by the same rounds on DataFrames.
 DENSE_TEXTS = 2000
+# texts of a component that one task merges from sparse sums and edges
+SPARSE_TEXTS = 20_000
 
 # ---------------------------------------------------------------------------
 # Run configuration
@@ -193,8 +195,8 @@ class Config:
     method: str = "linkage"
     merge_plurals: bool = False
     client_name: str = "Client"
-    # Where a component's merge rounds run (see DENSE_TEXTS); not what they return.
-    max_component: int = DENSE_TEXTS
+    # Where a component's merge rounds run (see SPARSE_TEXTS); not what they return.
+    max_component: int = SPARSE_TEXTS
 
     def __post_init__(self):
         if self.method not in ("linkage", "kmeans"):

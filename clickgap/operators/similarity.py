@@ -49,10 +49,10 @@ JOINED = 0.5        # share of min_sim below which what is left of a pair is bou
 
 
 def term_levels(weights: DataFrame, strata: list[str], key: str) -> DataFrame:
-    """(_s, key, term, w, lv, maxw, nd): stratum hash, level of the term, its
-    largest weight and the number of vectors that have it."""
+    """(strata, _s, key, term, w, lv, maxw, nd): stratum hash, level of the
+    term, its largest weight and the number of vectors that have it."""
     s = F.xxhash64(*strata) if strata else F.lit(0).cast("long")
-    w = weights.select(s.alias("_s"), key, "term", "w", F.floor(F.log2(F.col("df").cast("double"))).cast("int").alias("lv"))
+    w = weights.select(*strata, s.alias("_s"), key, "term", "w", F.floor(F.log2(F.col("df").cast("double"))).cast("int").alias("lv"))
     terms = w.groupBy("_s", "term").agg(F.max("w").alias("maxw"), F.count("*").alias("nd"))
     return w.join(terms, ["_s", "term"])
 
@@ -137,7 +137,8 @@ def similarity_pairs(weights: DataFrame, strata: list[str], key: str, min_sim: f
                      block: int = BLOCK) -> DataFrame:
     """(strata, a, b, sim) with a < b and sim > min_sim (exact).
 
-    weights: strata, key, term, w (unit vectors, positive), df."""
+    weights: strata, key, term, w (unit vectors, positive), df; read twice,
+    so better a written table than a long plan."""
     w = materialize(term_levels(weights, strata, key))
     post = materialize(postings(w, vector_levels(w, key), key, JOINED * min_sim))
     cand = materialize(candidates(post, key, min_sim, block))
@@ -148,7 +149,7 @@ def similarity_pairs(weights: DataFrame, strata: list[str], key: str, min_sim: f
                 .where(F.col("sim") > F.lit(min_sim)))
     if not strata:
         return sims.select("a", "b", "sim")
-    names = weights.select(*strata, F.xxhash64(*strata).alias("_s")).distinct()
+    names = w.select(*strata, "_s").distinct()
     return sims.join(names, "_s").select(*strata, "a", "b", "sim")
 
 

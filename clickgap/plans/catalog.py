@@ -247,7 +247,7 @@ SELECT segment, a, b, round(sim, 6) AS sim FROM pairs"""))
 def query_similarity_pairs(spark, sf):
     from clickgap.operators import cluster
     w, _ = cluster.segment_vectors(_texts(spark, sf))
-    return cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold).select(
+    return cluster.text_pairs(materialize(w), X.FIXTURE_CONFIG.threshold).select(
         "segment", "a", "b", r6("sim").alias("sim"))
 
 
@@ -257,6 +257,7 @@ def similarity_components(spark, sf):
     from clickgap.operators import cluster
     from clickgap.operators.components import connected_components
     w, _ = cluster.segment_vectors(_texts(spark, sf))
+    w = materialize(w)
     edges = cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold)
     comp = connected_components(edges, "a", "b")
     nodes = w.select("rep").distinct()
@@ -680,7 +681,19 @@ def document_line_pairs(spark, sf):
     q = enrich.preprocess_queries(X.document_lines(spark, sf), X.FIXTURE_CONFIG)
     texts = materialize(cluster.text_table(q.select("segment", "row_id", "query_norm")))
     w, _ = cluster.segment_vectors(texts)
-    return cluster.text_pairs(w, X.FIXTURE_CONFIG.threshold).select("segment", "a", "b", r6("sim").alias("sim"))
+    return cluster.text_pairs(materialize(w), X.FIXTURE_CONFIG.threshold).select(
+        "segment", "a", "b", r6("sim").alias("sim"))
+
+
+@register("document_line_clusters", W(O.DOC_LINK_CTES, """
+SELECT row_id, segment, cluster_id FROM clustered"""))
+def document_line_clusters(spark, sf):
+    """Exact average linkage over every document line taken as a query: more
+    rows than a UI export, long texts, components of thousands of lines."""
+    from clickgap.operators import cluster
+    q = enrich.preprocess_queries(X.document_lines(spark, sf), X.FIXTURE_CONFIG)
+    return cluster.cluster_queries(materialize(q.select("segment", "row_id", "query_norm")), X.FIXTURE_CONFIG).select(
+        "row_id", "segment", "cluster_id")
 
 
 # ---------------------------------------------------------------------------

@@ -368,6 +368,16 @@ clustered AS (
   FROM seg s JOIN texts t ON t.segment = s.segment AND t.query_norm = s.query_norm
   LEFT JOIN linked l ON l.rep = t.rep)"""
 
+# document lines: dot products inside components only (no merge crosses one)
+DOC_LINK_CTES = DOC_TFIDF_CTES + PAIRS_CTES + COMPONENT_CTES + """,
+linksize AS MATERIALIZED (SELECT rep, CAST(mult AS DOUBLE) AS m FROM texts WHERE rep IN (SELECT rep FROM tw)),
+ldot AS MATERIALIZED (
+  SELECT x.rep AS a, y.rep AS b, sum(x.w * y.w) * any_value(p.m) * any_value(q.m) AS d
+  FROM comp g JOIN comp h ON g.component = h.component AND g.rep < h.rep
+  JOIN tw x ON x.rep = g.rep JOIN tw y ON y.rep = h.rep AND y.term = x.term
+  JOIN linksize p ON p.rep = x.rep JOIN linksize q ON q.rep = y.rep
+  GROUP BY x.rep, y.rep),""" + _LINK_ROUNDS.format(cut=D("0.25")) + LINK_CTES[LINK_CTES.index(",\nclustered AS"):]
+
 EMBEDDING_LINK_CTES = """
 unit AS MATERIALIZED (
   SELECT vec_id AS rep, label, list_transform(CAST(embedding AS DOUBLE[]),
