@@ -469,6 +469,50 @@ def risk_summary(spark, sf):
     return risk.risk_counts(cf)
 
 
+@register("risk_order", W(O.MATCH_CTES + O.RISK_CTES, """
+SELECT row_number() OVER (ORDER BY score_difference, primary_cluster_id, primary_topic, competing_cluster_id,
+                                   competing_topic, shared_page, kind) AS place,
+       primary_topic, primary_intent, competing_topic, competing_intent, shared_page, primary_match_score,
+       runner_up_match_score, score_difference, risk_level
+FROM (SELECT *, 0 AS kind FROM risk_same UNION ALL SELECT *, 1 FROM risk_runner)"""))
+def risk_order(spark, sf):
+    """The risk table as displayed: its columns, smallest score difference
+    first (to 6 places), with each row's place."""
+    from clickgap.operators import ranking, report, risk
+    _, cf, _ = surrogate_mapped(spark, sf)
+    same, runner = risk.risk_pairs(cf)
+    both = _risk_select(same).withColumn("kind", F.lit(0)).unionByName(_risk_select(runner).withColumn("kind", F.lit(1)))
+    order = ("score_difference", "primary_cluster_id", "primary_topic", "competing_cluster_id", "competing_topic",
+             "shared_page", "kind")
+    return report.display(ranking.number_rows(both, *[F.col(c) for c in order]), ["place", *report.RISK_DISPLAY_COLS])
+
+
+@register("effort_order", W(O.MATCH_CTES + O.EFFORT_CTES, """
+SELECT row_number() OVER (ORDER BY effort_level, round(opportunity_clicks, 6) DESC, cluster_id, topic_label) AS place,
+       effort_label, recommended_action, topic_label, intent, round(opportunity_clicks, 6) AS opportunity_clicks,
+       priority_band, primary_page, round(avg_position, 6) AS avg_position FROM effort"""))
+def effort_order(spark, sf):
+    """The effort table as displayed: low effort first, then opportunity."""
+    from clickgap.operators import ranking, report
+    _, cf, _ = surrogate_mapped(spark, sf)
+    e = report.effort_table(cf).withColumns({c: r6(c) for c in ("opportunity_clicks", "avg_position")})
+    rows = ranking.number_rows(e, F.col("effort_level"), F.col("opportunity_clicks").desc(), F.col("cluster_id"),
+                               F.col("topic_label"))
+    return report.display(rows, ["place", *report.EFFORT_DISPLAY_COLS])
+
+
+@register("keyword_order", W(O.MATCH_CTES + O.KEYWORD_CTES, """
+SELECT row_number() OVER (ORDER BY round(opportunity_clicks, 6) DESC NULLS LAST, query, cluster_id) AS place,
+       query, cluster_id, topic_label, round(opportunity_clicks, 6) AS opportunity_clicks FROM kw"""))
+def keyword_order(spark, sf):
+    """The keyword table sorted by missed clicks, with each row's place."""
+    from clickgap.operators import ranking, report
+    qf, cf, _ = surrogate_mapped(spark, sf)
+    kw = report.keyword_table(qf, cf).withColumn("opportunity_clicks", r6("opportunity_clicks"))
+    return ranking.number_rows(kw, F.col("opportunity_clicks").desc_nulls_last(), F.col("query"), F.col("cluster_id")) \
+        .select("place", "query", "cluster_id", "topic_label", "opportunity_clicks")
+
+
 @register("effort_ranking", W(O.MATCH_CTES + O.EFFORT_CTES, """
 SELECT cluster_id, topic_label, effort_level, effort_label, recommended_action,
        round(opportunity_clicks, 6) AS opportunity_clicks FROM effort"""))
