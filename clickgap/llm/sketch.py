@@ -345,6 +345,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     partner = of_node.select(
         "lead", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"),
         F.col("main").alias("mb"), F.explode(F.slice("first", F.lit(1), F.col("as_partner"))).alias("element"))
+    # elements whose members all carry one label already join nothing new:
+    # their keys go before the join, not their pairs after it
+    mixed = stage(apart.select("lead", "element", F.col("la").alias("label"))
+                  .union(partner.select("lead", "element", F.col("lb").alias("label")))
+                  .groupBy("lead", "element").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                  .where("low <> high").select("lead", "element"))
+    apart = apart.join(mixed, ["lead", "element"], "left_semi")
+    partner = partner.join(mixed, ["lead", "element"], "left_semi")
     rest = apart.join(partner, ["lead", "element"]).where(
         f"la <> lb AND (ma <> mb OR lead = ma) AND {den} * least(na, nb) >= {num} * greatest(na, nb)") \
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

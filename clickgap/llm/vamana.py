@@ -16,9 +16,9 @@ vector neither breaks the graph nor hides its neighbours.
 Scale: shard count follows the row count, so a task's memory does not;
 queries (a stated subset) go to every shard in blocks of QUERY_BLOCK.
 
-Defined cases: vectors that are null, zero, of another length than the
-first query's or hold null or non-finite components take no part; a query
-is no neighbour of itself, rows that share its id neither; ties go to the
+Defined cases: vectors that are null, zero or hold null or non-finite
+components take no part; vectors of one length are compared, each length
+with shards of its own; a query is no neighbour of itself, rows that share its id neither; ties go to the
 smaller id; fewer candidates than k give them all; empty tables give no
 rows; extra columns are ignored.
 """
@@ -230,11 +230,17 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"),
                           F.coalesce(is_query, F.lit(False)).alias("asked")) \
         .where(F.col("id").isNotNull() & usable(F.col("v")))
-    first = F.min(F.when(F.col("asked"), F.struct("id", F.size("v").alias("size"))))
-    n, n_asked, size = rows.agg(F.count("*"), F.count_if("asked"), first["size"]).first()
-    rows = rows.where(F.size("v") == (size or 0))
-    n_shards = max(1, -(-n // shard_rows))
-    points = rows.select("id", "v", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_shards)).alias("shard"))
+    rows = rows.withColumn("size", F.size("v"))
+    sizes = sorted(rows.groupBy("size").agg(F.count("*"), F.count_if("asked")).collect())
+    # vectors of one length are neighbours: each length has shards of its own
+    n_asked, first, shards = sum(a for _, _, a in sizes), F.lit(0).cast("long"), F.lit(1).cast("long")
+    used = 0
+    for size, n, _ in sizes:
+        count = max(1, -(-n // shard_rows))
+        first = F.when(F.col("size") == size, F.lit(used).cast("long")).otherwise(first)
+        shards = F.when(F.col("size") == size, F.lit(count).cast("long")).otherwise(shards)
+        used += count
+    points = rows.select("id", "v", (first + F.pmod(F.xxhash64("id", F.lit(3)), shards)).alias("shard"))
     index = stage(points.groupBy("shard").applyInPandas(
         lambda a: _build_shard(a, degree, build_beam, alpha),
         "shard long, node int, v array<double>, ids array<long>, edges array<int>, start boolean"))
@@ -242,8 +248,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
 
     def every(count: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
-    asked = rows.where("asked").select("id", "v", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(blocks)).alias("block")) \
-        .withColumn("shard", every(n_shards))
+    asked = rows.where("asked").select("id", "v", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(blocks)).alias("block"),
+                                       F.explode(F.sequence(first, first + shards - 1)).alias("shard"))
     found = index.withColumn("block", every(blocks)).groupBy("shard", "block") \
         .cogroup(asked.groupBy("shard", "block")).applyInPandas(
             lambda a, b: _search_shard(a, b, k, beam), "query_id long, vec_id long, score double")

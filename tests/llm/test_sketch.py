@@ -102,3 +102,22 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in sketch.components(df).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(50)) and got[200] == 199
     assert sketch.components(df.limit(0)).count() == 0
+
+
+def test_copies_of_one_label_do_not_meet_again(spark, monkeypatch):
+    """A leader whose bucket holds m near copies linked to each other but not
+    to it: what the completing join makes grows with m, not with its square."""
+    sizes = []
+    real = sketch.confirmed
+
+    def made(m):
+        base = [f"c{i}" for i in range(60)]
+        lead = base[:30] + [f"d{i}" for i in range(30)]
+        rows = [(0, " ".join(lead))] + [(i + 1, " ".join(base + [f"e{i}"])) for i in range(m)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        monkeypatch.setattr(sketch, "confirmed", lambda rest, *a: sizes.append(rest.count()) or real(rest, *a))
+        got = {r.doc_id: r.component_id for r in sketch.groups(df).collect()}
+        assert got[0] == 0 and {got[i] for i in range(1, m + 1)} == {1}
+    made(40)
+    made(160)
+    assert len(sizes) < 2 or sizes[-1] <= 5 * max(sizes[0], 1)

@@ -63,3 +63,16 @@ def test_very_common_vector(spark):
     for q in range(0, 700, 50):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == \
             [i for i in range(11) if i != q][:10]
+
+
+def test_vectors_of_several_lengths_meet_their_own(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(c) for c in rng.normal(size=8 if i % 3 else 5)]) for i in range(400)] + [(400, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vamana.neighbours(df, F.col("vec_id") % 50 == 0, shard_rows=150).collect()
+    size = {i: len(v) for i, v in rows}
+    want = {}
+    for n in (5, 8):
+        want.update(brute([r for r in rows if len(r[1]) == n], lambda i: i % 50 == 0, 10))
+    assert all(size[r.query_id] == size[r.vec_id] for r in got)
+    assert recall(got, want) >= 0.95 and {r.query_id for r in got} == set(range(0, 400, 50))
