@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return sketch.representatives(docs)
+    """One document of each near-duplicate group stays: groups linked by 80 %
+    of equal five-word shingles."""
+    return sketch.representatives(docs, size=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
