@@ -5,26 +5,31 @@ contextual extraction, in DataFrame functions only.
 
 Bootstrapping: the words around a mention are lexical patterns (the two
 words before it; the word before with the word after). Base values are
-seeds with score 1 for their kind. Patterns with SUPPORT distinct seeds are
-applied to every text: identifier-like mentions (numbers, tokens with a
-digit) and whichever other word fills their slot, of any characters and
-length, are the unseen instances. Brackets and quotes that open a word and
+seeds with score 1 for their kind; long hexadecimal strings are seeds of a
+kind "secret", which no expression reports by itself: only those (and other
+words) in an accepted pattern become spans, after the kinds of the base.
+A pattern enters if it has SUPPORT distinct seeds of a kind and they are
+SHARE of the distinct values in its slot: identifier-like mentions (numbers,
+tokens with a digit) and whichever other word fills it, of any characters
+and length, the unseen instances. Brackets and quotes that open a word and
 punctuation that ends it count as the words around; a word that opens with
 a bracket is also read whole. Rounds then score the pattern-instance graph:
 
   pattern confidence = mean score of its distinct instances,
   instance score     = 1 - product of (1 - confidence) over its other
-                       patterns, of those with SUPPORT distinct seeds,
+                       patterns, of those that entered,
 
-and after ROUNDS rounds, occurrences of unseen instances in a pattern of
-confidence >= LEAST become spans of that kind. A pattern must therefore
+and after ROUNDS rounds (a parameter of the result), occurrences of unseen
+instances in a pattern of confidence >= LEAST become spans of that kind. A pattern must therefore
 hold mostly known identifiers before it says anything about others.
 
-Scale: documents are read three times and never shuffled for it; what is
-exchanged is one row per mention or filled slot, pre-aggregated by pattern
-and instance.
-The only sides joined back are patterns with SUPPORT seeds, and joins are
-plain equi-joins that split when skewed.
+Scale: a pattern's values are first counted in the documents that hold its
+seeds. All its seeds are there, so a share too small there is too small in
+the whole corpus, and patterns of common words go before any text is read
+for them. Of the other texts only those that hold the word in front of a
+slot of the rest are cut into words. Patterns that entered have at most
+1 / SHARE values a seed, so the graph grows with the seeds; joins are plain
+equi-joins that split when skewed.
 
 Defined cases: null text is empty and has no spans; overlapping kinds all
 count; rows repeated with the same id and text each get the same result;
@@ -34,6 +39,8 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +62,14 @@ LONG_NUMBER = r"[0-9](?:[\x20-]?+[0-9]){5,}+(?![A-Za-z0-9])"
 TOKEN = (r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4,62}"
          r"[A-Za-z0-9](?![A-Za-z0-9])")
 
+#: seeds of secrets: hexadecimal strings of one case with letters and digits
+SECRET = (r"(?<![A-Za-z0-9])(?=[0-9]{0,128}[A-Fa-f])(?=[A-Fa-f]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})"
+          r"(?![A-Za-z0-9])")
+SEEDS = (*KINDS, "secret")
+
 ROUNDS = 3
 SUPPORT = 3         # distinct seeds that a pattern must hold
+SHARE = 0.25        # of a pattern's distinct values must be seeds
 LEAST = 0.8         # confidence that accepts a pattern
 BLOCK = 128         # matches whose positions are gathered at once
 CELL = 64           # characters of a cell in which spans are compared
@@ -135,9 +148,9 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per identifier-like mention: ``row_key``, ``start``, ``end``,
-    ``value``, ``kind`` (null unless it passes as a base kind) and
+    ``value``, ``kind`` (null unless it passes as a seed of one) and
     ``patterns`` (the contexts it stands in)."""
-    any_of = "|".join([EMAIL, IP, PHONE, LONG_NUMBER, TOKEN])
+    any_of = "|".join([EMAIL, IP, PHONE, SECRET, LONG_NUMBER, TOKEN])
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), text.alias("text")) \
         .where(F.col("text").rlike("[0-9]|@"))
@@ -151,7 +164,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                    F.lower(F.reverse(F.regexp_extract("left", r"^\s*+\S++\s++(\S++)", 1))).alias("l2"),
                    F.lower(F.reverse(F.regexp_extract("left", r"^\s*+(\S++)", 1))).alias("l1"),
                    F.lower(F.regexp_extract("right", r"^\s*+(\S++)", 1)).alias("r1"))
-    kind = F.lit(None).cast("string")
+    kind = F.when(F.col("value").rlike(f"^{SECRET}$"), F.lit("secret"))
     for k in reversed(KINDS):
         kind = F.when(F.col("value").rlike(f"^(?:{_PATTERN[k]})$") & valid(k, F.col("value")), F.lit(k)).otherwise(kind)
     return df.select("row_key", "start", "end", "value", kind.alias("kind"), _patterns().alias("patterns"))
@@ -165,11 +178,44 @@ def _patterns() -> Column:
         lambda p: p.isNotNull())
 
 
-def seeded(found: DataFrame, support: int) -> DataFrame:
-    """(pattern, for_kind) of the patterns with ``support`` distinct seeds."""
-    edges = found.where("kind IS NOT NULL").select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    able = edges.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(f"seeds >= {support}")
-    return able.select("pattern", F.col("kind").alias("for_kind"))
+def _edges(found: DataFrame) -> DataFrame:
+    """The distinct (pattern, value, kind)."""
+    return found.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
+
+
+def seeded(edges: DataFrame, support: int, share: float = 0.0) -> DataFrame:
+    """(pattern, for_kind) of the patterns with ``support`` distinct seeds
+    that are ``share`` of their distinct values."""
+    per = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+    able = per.where(f"kind IS NOT NULL AND n >= {support}").select("pattern", F.col("kind").alias("for_kind"), "n")
+    if share:
+        able = able.join(per.groupBy("pattern").agg(F.sum("n").alias("all")), "pattern").where(f"n >= {share} * all")
+    return able.select("pattern", "for_kind")
+
+
+def _slot_words(able: DataFrame) -> DataFrame:
+    """The words in front of the slots of the patterns."""
+    part = F.split("pattern", " ")
+    return able.select(F.when(F.col("pattern").startswith("before: "), F.get(part, F.lit(2))).otherwise(
+        F.get(part, F.lit(1))).alias("l1")).distinct()
+
+
+def _holding(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataFrame:
+    """``docs`` that hold a word in front of a slot of the patterns; an
+    opening bracket or quote may be one."""
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    words = F.array_union(F.split(text, r"\s++"), F.regexp_extract_all(
+        text, F.lit(r"(?<!\S)[" + re.escape(OPENS) + "]++"), F.lit(0)))
+    some = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.explode(words).alias("l1")) \
+        .join(_slot_words(able), "l1", "left_semi").select("row_key").distinct()
+    return _keyed(docs, id_col, text_col, some)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    """(id, text) of the ``docs`` whose key is in ``keys`` (row_key)."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       row_key(F.col(id_col), F.col(text_col)).alias("row_key")) \
+        .join(keys, "row_key", "left_semi").select("id", "text")
 
 
 def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataFrame:
@@ -207,20 +253,16 @@ def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataF
                                         .otherwise(F.array(core))).alias("x")).select("row_key", "x.*")
     df = df.select("row_key", "start", "end", "value", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in names[3:]])
     # the word before the slot first: few words pass it
-    part = F.split("pattern", " ")
-    near = able.select(F.when(F.col("pattern").startswith("before: "), F.get(part, F.lit(2))).otherwise(
-        F.get(part, F.lit(1))).alias("l1")).distinct()
-    df = df.join(near, "l1", "left_semi").select("row_key", "start", "end", "value", F.explode(_patterns()).alias("pattern"))
+    df = df.join(_slot_words(able), "l1", "left_semi") \
+        .select("row_key", "start", "end", "value", F.explode(_patterns()).alias("pattern"))
     return df.join(able.select("pattern").distinct(), "pattern", "left_semi") \
         .select("row_key", "start", "end", "value", F.lit(None).cast("string").alias("kind"),
                 F.array("pattern").alias("patterns"))
 
 
-def instances(docs: DataFrame, id_col: str, text_col: str, support: int) -> DataFrame:
-    """``mentions`` and ``slots`` together; a word that holds a seed, or is
-    a part of a longer mention, is no instance of its own."""
-    found = stage(mentions(docs, id_col, text_col))
-    able = stage(seeded(found, support))
+def _filled(docs: DataFrame, id_col: str, text_col: str, able: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``slots`` that are instances: a word that holds a seed, or is a
+    part of a longer mention of ``found``, is none of its own."""
     filled = stage(slots(docs, id_col, text_col, able))
     cell = F.explode(F.sequence(F.floor(F.col("start") / CELL), F.floor((F.col("end") - 1) / CELL)))
     a = filled.select("row_key", "start", "end", cell.alias("cell")).distinct().alias("a")
@@ -228,14 +270,29 @@ def instances(docs: DataFrame, id_col: str, text_col: str, support: int) -> Data
     taken = a.join(b, F.expr("a.row_key = b.row_key AND a.cell = b.cell AND a.start < b.end AND b.start < a.end AND "
                              "(b.kind IS NOT NULL OR b.start < a.start OR b.end > a.end)"), "left_semi") \
         .select("row_key", "start", "end").distinct()
-    return stage(found.unionByName(filled.join(taken, ["row_key", "start", "end"], "left_anti")))
+    return filled.join(taken, ["row_key", "start", "end"], "left_anti")
 
 
-def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
+def instances(docs: DataFrame, id_col: str, text_col: str, support: int, share: float) -> DataFrame:
+    """``mentions`` and the words that fill slots of patterns with
+    ``support`` seeds which can be ``share`` of their values."""
+    found = stage(mentions(docs, id_col, text_col))
+    able = stage(seeded(_edges(found), support))
+    # first in the documents of the seeds: shares there bound those of all
+    placed_seeds = found.where("kind IS NOT NULL").select("row_key", "kind", F.explode("patterns").alias("pattern"))
+    homes = placed_seeds.join(able.withColumnRenamed("for_kind", "kind"), ["pattern", "kind"], "left_semi") \
+        .select("row_key").distinct()
+    near = _filled(_keyed(docs, id_col, text_col, homes), "id", "text", able, found)
+    part = _edges(found.unionByName(near))
+    able = stage(seeded(part.join(able.select("pattern").distinct(), "pattern", "left_semi"), support, share))
+    return stage(found.unionByName(_filled(_holding(docs, id_col, text_col, able), "id", "text", able, found)))
+
+
+def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(pattern, kind, confidence) after scoring the graph of the distinct
     (pattern, value) pairs of ``found``."""
-    edges = found.select(F.explode("patterns").alias("pattern"), "value", "kind").distinct()
-    able = stage(seeded(found, support))
+    edges = _edges(found)
+    able = stage(seeded(edges, support, share))
     # edges of patterns that can say something, once for each kind they may mean
     edges = stage(edges.join(able, "pattern"))
     score = F.when(F.col("kind") == F.col("for_kind"), 1.0).otherwise(0.0)
@@ -257,18 +314,19 @@ def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPO
 
 
 def discovered(docs: DataFrame, id_col: str, text_col: str, rounds: int = ROUNDS,
-               support: int = SUPPORT, least: float = LEAST) -> DataFrame:
+               support: int = SUPPORT, least: float = LEAST, share: float = SHARE) -> DataFrame:
     """(row_key, kind, start, end) of the spans that contexts add."""
-    found = instances(docs, id_col, text_col, support)
-    good = stage(scored_patterns(found, rounds, support).where(F.col("confidence") >= least))
-    unseen = found.where("kind IS NULL").select("row_key", "start", "end", F.explode("patterns").alias("pattern"))
-    return unseen.join(good, "pattern").groupBy("row_key", "start", "end") \
+    found = instances(docs, id_col, text_col, support, share)
+    good = stage(scored_patterns(found, rounds, support, share).where(F.col("confidence") >= least))
+    unseen = found.where("kind IS NULL OR kind = 'secret'").select(
+        "row_key", "start", "end", F.col("kind").alias("seed"), F.explode("patterns").alias("pattern"))
+    return unseen.join(good, "pattern").where("seed IS NULL OR seed = kind").groupBy("row_key", "start", "end") \
         .agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind")) \
         .groupBy("row_key", "start", "kind").agg(F.max("end").alias("end"))     # the longest reading at a place
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
-            support: int = SUPPORT, least: float = LEAST) -> DataFrame:
+            support: int = SUPPORT, least: float = LEAST, share: float = SHARE) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``base`` and ``spans`` - arrays of
     (rank of the kind, start, end, kind, value; null value if added) - by
     kind as listed, then start."""
@@ -280,8 +338,8 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rou
         F.lit(i).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"),
         s["value"].alias("value"))) for i, k in enumerate(KINDS)]
     base = base.select("id", "row_key", F.concat(*parts).alias("base"))
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
-    more = discovered(docs, id_col, text_col, rounds, support, least).groupBy("row_key").agg(F.collect_set(F.struct(
+    rank = F.array_position(F.array(*[F.lit(k) for k in SEEDS]), F.col("kind")).cast("int") - 1
+    more = discovered(docs, id_col, text_col, rounds, support, least, share).groupBy("row_key").agg(F.collect_set(F.struct(
         rank.alias("rank"), "start", "end", "kind", F.lit(None).cast("string").alias("value"))).alias("more"))
     out = base.join(more, "row_key", "left")
     return out.select(F.col("id").alias(id_col), "row_key", "base", F.when(F.col("more").isNull(), F.col("base"))

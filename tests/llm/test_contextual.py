@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -79,6 +80,61 @@ def test_any_token_fills_the_slot_of_a_pattern(spark):
     assert got[10] == "email:16:25" and got[11] == "email:16:23"
 
 
+def plain_scores(edges, rounds, support, share):
+    """The scores of the graph, by its definition."""
+    values, seeds = {}, {}
+    for p, v, k in edges:
+        values.setdefault(p, {})[v] = k
+        if k is not None:
+            seeds.setdefault((p, k), set()).add(v)
+    able = [(p, k) for (p, k), s in seeds.items() if len(s) >= support and len(s) >= share * len(values[p])]
+    score = {(p, k, v): float(values[p][v] == k) for p, k in able for v in values[p]}
+    for turn in range(rounds):
+        conf = {(p, k): sum(score[p, k, v] for v in values[p]) / len(values[p]) for p, k in able}
+        for p, k, v in score if turn < rounds - 1 else ():
+            if values[p][v] is None:
+                miss = 1.0
+                for q, j in able:
+                    if j == k and q != p and v in values[q]:
+                        miss *= max(1 - conf[q, j], 1e-12)
+                score[p, k, v] = 1 - miss
+    return conf
+
+
+def test_graph_scores_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = []
+    for p in range(12):
+        for v in rng.sample(range(40), rng.randint(3, 20)):
+            kind = ["email", "ip", None, None][v % 4]
+            rows += [(p, f"v{v}", kind)] * rng.randint(1, 3)
+    found = spark.createDataFrame([([f"p{p}"], v, k) for p, v, k in rows],
+                                  "patterns array<string>, value string, kind string")
+    for share in (0.0, 0.25, 0.4):
+        got = {(r.pattern, r.kind): r.confidence
+               for r in contextual.scored_patterns(found, rounds=4, support=2, share=share).collect()}
+        want = plain_scores({(f"p{p}", v, k) for p, v, k in rows}, 4, 2, share)
+        assert got.keys() == want.keys() and want
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_contexts_of_secrets_and_common_words(spark):
+    """Hexadecimal seeds open their context to other secrets, alone they
+    are no span; a context that mostly holds other words says nothing."""
+    rng = random.Random(3)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(8)]
+    rows = [(i, f'Some words. token = "{h}" and more.') for i, h in enumerate(hexes)]
+    rows += [(20, 'Some words. token = "sk-Live_88" and more.'), (21, f"lone {hexes[0]}x and {hexes[1]} here")]
+    rows += [(30 + i, f"ask the u{i}@x.org of it") for i in range(4)]
+    rows += [(40 + i, f"ask the w{i} of it, and the z{i} of that") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in contextual.extract(docs).select(
+        "doc_id", contextual.span_text(F.col("spans")).alias("s")).collect()}
+    assert all(got[i] == "secret:21:61" for i in range(8))
+    assert got[20] == "secret:21:31" and got[21] == ""
+    assert all(got[40 + i] == "" for i in range(30)) and got[30] == "email:8:16"
+
+
 def test_base_spans_stay_and_sort(odd_docs):
     for r in contextual.extract(odd_docs).select("base", "spans").collect():
         assert set(map(str, r.base)) <= set(map(str, r.spans))
