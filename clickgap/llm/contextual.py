@@ -24,9 +24,9 @@ instances in a pattern of confidence >= LEAST become spans of that kind. A patte
 hold mostly known identifiers before it says anything about others.
 
 Scale: a pattern's values are first counted in the documents that hold its
-seeds. All its seeds are there, so a share too small there is too small in
-the whole corpus, and patterns of common words go before any text is read
-for them. Of the other texts only those that hold the word in front of a
+seeds, then with one in PROBE of the others. All its seeds are there, so a
+share too small there is too small in the whole corpus: patterns of common
+words go early, and the pass over all texts, which decides, meets few. Of the texts only those that hold the word in front of a
 slot of the rest are cut into words. Patterns that entered have at most
 1 / SHARE values a seed, so the graph grows with the seeds; joins are plain
 equi-joins that split when skewed.
@@ -69,6 +69,7 @@ SEEDS = (*KINDS, "secret")
 
 ROUNDS = 3
 SUPPORT = 3         # distinct seeds that a pattern must hold
+PROBE = 32          # one document in so many is read for hopeless patterns first; no result depends on it
 SHARE = 0.25        # of a pattern's distinct values must be seeds
 LEAST = 0.8         # confidence that accepts a pattern
 BLOCK = 128         # matches whose positions are gathered at once
@@ -282,12 +283,21 @@ def instances(docs: DataFrame, id_col: str, text_col: str, support: int, share:
     placed_seeds = found.where("kind IS NOT NULL").select("row_key", "kind", F.explode("patterns").alias("pattern"))
     homes = placed_seeds.join(able.withColumnRenamed("for_kind", "kind"), ["pattern", "kind"], "left_semi") \
         .select("row_key").distinct()
-    near = _filled(_keyed(docs, id_col, text_col, homes), "id", "text", able, found)
-    part = _edges(found.unionByName(near))
-    able = stage(seeded(part.join(able.select("pattern").distinct(), "pattern", "left_semi"), support, share))
+    met = stage(_filled(_keyed(docs, id_col, text_col, homes), "id", "text", able, found))
+    able = _possible(found, met, able, support, share)
+    key = row_key(F.col(id_col), F.col(text_col))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(11), key), F.lit(PROBE)) == 0)
+    met = met.unionByName(stage(_filled(_holding(some, id_col, text_col, able), "id", "text", able, found)))
+    able = _possible(found, met, able, support, share)
     return stage(found.unionByName(_filled(_holding(docs, id_col, text_col, able), "id", "text", able, found)))
 
 
+def _possible(found: DataFrame, met: DataFrame, able: DataFrame, support: int, share: float) -> DataFrame:
+    """The patterns ``able`` that keep their share among the values ``met``."""
+    mine = _edges(found.unionByName(met)).join(able.select("pattern").distinct(), "pattern", "left_semi")
+    return stage(seeded(mine, support, share))
+
+
 def scored_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """(pattern, kind, confidence) after scoring the graph of the distinct
     (pattern, value) pairs of ``found``."""
