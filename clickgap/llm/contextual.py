@@ -26,10 +26,10 @@ hold mostly known identifiers before it says anything about others.
 Scale: a pattern's values are first counted in the documents that hold its
 seeds, then with one in PROBE of the others. All its seeds are there, so a
 share too small there is too small in the whole corpus: patterns of common
-words go early, and the pass over all texts, which decides, meets few. Of the texts only those that hold the word in front of a
-slot of the rest are cut into words. Patterns that entered have at most
-1 / SHARE values a seed, so the graph grows with the seeds; joins are plain
-equi-joins that split when skewed.
+words go early, and the pass over all texts, which decides, meets few. It
+cuts only texts into words that hold the word in front of a slot. Patterns
+that entered have at most 1 / SHARE values a seed, so the graph grows with
+the seeds; joins are plain equi-joins that split when skewed.
 
 Defined cases: null text is empty and has no spans; overlapping kinds all
 count; rows repeated with the same id and text each get the same result;
