@@ -55,6 +55,7 @@ from .common import prepare, stage
 
 CONSTANT = 0.9          # share of differing pages that makes a node template
 MIN_PAGES = 10          # differing pages that a template needs
+REFS_CHARS = 1 << 20    # html characters of the parsed references that a task keeps
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -412,18 +413,23 @@ def _digest(s: str) -> str:
 
 
 class _References:
-    """Parsed reference pages, the latest few."""
+    """Parsed reference pages, those used last, up to REFS_CHARS of html."""
 
     def __init__(self):
-        self.kept: dict = {}
+        self.kept: dict = {}        # oldest use first
+        self.chars = 0
 
     def get(self, source: str):
-        got = self.kept.get(source)
+        got = self.kept.pop(source, None)
         if got is None:
-            if len(self.kept) >= 8:
-                self.kept.clear()
             root = parse(source)
-            got = self.kept[source] = (root, {id(x): i for i, x in enumerate(nodes(root))})
+            got = (root, {id(x): i for i, x in enumerate(nodes(root))})
+            self.chars += len(source)
+            while self.kept and self.chars > REFS_CHARS:
+                oldest = next(iter(self.kept))
+                del self.kept[oldest]
+                self.chars -= len(oldest)
+        self.kept[source] = got
         return got
 
 
