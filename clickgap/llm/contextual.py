@@ -44,14 +44,14 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage
+from .common import fresh, row_key, stage
 
 # The base kinds (fixed by the contract, in order). Written with possessive
 # repeats and, for runs, a check that a match starts where the run or the
 # last match does: same matches, no backtracking over long runs.
 EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+CARD = r"[0-9](?:[\x20-]?+[0-9]){15,}+"     # shorter runs never pass the check
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 _PATTERN = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE)))
@@ -66,49 +66,78 @@ TOKEN = (r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,63}[0-9])[A-Za-z0-9][A-Za-z0-9._/-]{4
 SECRET = (r"(?<![A-Za-z0-9])(?=[0-9]{0,128}[A-Fa-f])(?=[A-Fa-f]{0,128}[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})"
           r"(?![A-Za-z0-9])")
 SEEDS = (*KINDS, "secret")
+#: where a mention may start, and what its first letters must lead to: true of
+#: every mention, and soon false of plain words
+_MAY_START = r"(?:(?<![A-Za-z0-9])|(?=[+0-9])|\G)(?=[A-Za-z_-]{0,64}+[A-Za-z0-9@._%+/-])"
 
 ROUNDS = 3
 SUPPORT = 3         # distinct seeds that a pattern must hold
 PROBE = 32          # one document in so many is read for hopeless patterns first; no result depends on it
 SHARE = 0.25        # of a pattern's distinct values must be seeds
 LEAST = 0.8         # confidence that accepts a pattern
-BLOCK = 128         # matches whose positions are gathered at once
+SHIFT = 4
+BLOCK = 1 << SHIFT  # matches, and blocks, whose sizes are summed together
 CELL = 64           # characters of a cell in which spans are compared
 OPENS = "<([{\"'"
 STOPS = ",.;:!?"     # these end a word, and closing brackets if one opens it
 CLOSES = ">)]}\"'"
 
-_SPANS = "array<struct<start:int,end:int,value:string>>"
 
-
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches: array of (start, end, value) in
-    code points, end exclusive."""
-    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
-
-
-def placed(found: Column, between: Column) -> Column:
-    """``matches`` from the matched values and the text between them. Each
-    block evaluates both anew, so many matches want them as columns."""
-    none = F.array().cast(_SPANS)
-
-    def add(acc, m):
-        start = acc["at"] + F.length(m["between"])
-        end = start + F.length(m["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), end.alias("end"), m["value"].alias("value")))).alias("out"))
-    # in blocks: appending copies the array, so long ones would cost a square
-    def block(acc, k):
-        part = F.zip_with(F.slice(found, k * BLOCK + 1, F.lit(BLOCK)),
-                          F.slice(between, k * BLOCK + 1, F.least(F.lit(BLOCK), F.size(found) - k * BLOCK)),
-                          lambda v, b: F.struct(v.alias("value"), b.alias("between")))
-        got = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), add)
-        return F.transform(F.array(got), lambda g: F.struct(
-            g["at"].alias("at"), F.concat(acc["outs"], F.array(g["out"])).alias("outs")))[0]
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("outs"))
-    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
-    return F.when(F.size(found) == 0, none).otherwise(
-        F.aggregate(blocks, begin, block, lambda acc: F.flatten(acc["outs"])))
+def located(df: DataFrame, wanted: dict) -> DataFrame:
+    """``df`` with a column per item of ``wanted`` (name: text, pattern and
+    condition): the leftmost non-overlapping matches as an array of (start,
+    end, value) in code points, end exclusive.
+
+    Start places are sums over the sizes of the matches before: over blocks
+    of blocks, blocks, and inside a block, so a text costs its length (an
+    accumulated array would be copied at every step). Every step is a column
+    of its own projection, as each is read many times by the next; whatever
+    explodes the result must be an outer explode, as an inner one pushes a
+    size filter down with the whole expression in it."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    parts = ("found", "between", "size", "block", "upper", "lower")
+    names = {k: dict(zip(parts, fresh(df, *[f"{p}_{k}" for p in parts]))) for k in wanted}
+
+    def add(df, part, one):
+        old = [F.col(f"`{c}`") for c in df.columns]
+        return df.select(*old, *[one({p: F.col(f"`{n}`") for p, n in names[k].items()}, *wanted[k])
+                                 .alias(names[k][part]) for k in wanted])
+
+    def upto(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def total(values, first, last):
+        return F.aggregate(F.sequence(first, last), F.lit(0), lambda acc, i: acc + F.get(values, i))
+
+    def sums(values):
+        """Sums over runs of BLOCK values."""
+        return F.transform(upto(F.shiftright(F.size(values) + BLOCK - 1, SHIFT)), lambda k: total(
+            values, k * BLOCK, F.least((k + 1) * BLOCK, F.size(values)) - 1))
+
+    def before(values, i):
+        """The sum of the values before ``i`` in its run."""
+        return total(values, F.shiftleft(F.shiftright(i, SHIFT), SHIFT), i) - F.get(values, i)
+    def held(value, *cols):
+        # read again outside the lambda: a column read once is inlined into
+        # it, and would be worked out anew for every element
+        return F.when(F.least(F.lit(0), *[F.size(c) for c in cols]) == 0, value)
+    nothing = F.array().cast("array<string>")
+    df = add(df, "found", lambda c, t, p, may: F.when(may, F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(nothing))
+    df = add(df, "between", lambda c, t, p, may: F.when(F.size(c["found"]) > 0, F.split(t, p, -1)).otherwise(nothing))
+    df = add(df, "size", lambda c, *_: held(F.transform(
+        c["found"], lambda v, i: F.length(v) + F.length(F.get(c["between"], i))), c["between"]))
+    df = add(df, "block", lambda c, *_: held(sums(c["size"]), c["size"]))
+    df = add(df, "upper", lambda c, *_: F.aggregate(
+        sums(c["block"]), F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))))
+    df = add(df, "lower", lambda c, *_: held(F.transform(
+        c["block"], lambda _v, b: F.get(c["upper"], F.shiftright(b, SHIFT)) + before(c["block"], b)), c["upper"]))
+
+    def spans(c):
+        ends = F.transform(c["size"], lambda v, i: F.get(c["lower"], F.shiftright(i, SHIFT)) + before(c["size"], i) + v)
+        return held(F.zip_with(c["found"], ends, lambda v, e: F.struct(
+            (e - F.length(v)).alias("start"), e.alias("end"), v.alias("value"))), c["lower"])
+    return df.select(*kept, *[spans({p: F.col(f"`{n}`") for p, n in names[k].items()}).alias(k) for k in wanted],
+                     *[F.col(f"`{names[k]['between']}`").alias(f"{k}_between") for k in wanted])
 
 
 def _digits(v: Column) -> Column:
@@ -137,27 +166,26 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     """``df`` with a column per kind: its checked spans. ``text`` names a
     column without nulls."""
     t = F.col(text)
-    none = F.array().cast(_SPANS)
-    for kind in KINDS:
-        need = _NEEDS[kind]
-        may = t.rlike("[0-9]") if need is None else t.contains(need)
-        found = F.when(may, matches(t, _PATTERN[kind])).otherwise(none)
-        df = df.withColumn(kind, found)
-        df = df.withColumn(kind, F.filter(F.col(kind), lambda s: valid(kind, s["value"])))
-    return df
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    df = located(df, {kind: (t, _PATTERN[kind], t.rlike("[0-9]") if _NEEDS[kind] is None else t.contains(_NEEDS[kind]))
+                      for kind in KINDS})
+
+    def checked(kind):
+        return F.filter(kind, lambda m: valid(kind, m["value"])).alias(kind)
+    return df.select(*kept, *[checked(kind) for kind in KINDS])
 
 
 def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per identifier-like mention: ``row_key``, ``start``, ``end``,
     ``value``, ``kind`` (null unless it passes as a seed of one) and
     ``patterns`` (the contexts it stands in)."""
-    any_of = "|".join([EMAIL, IP, PHONE, SECRET, LONG_NUMBER, TOKEN])
+    any_of = f"{_MAY_START}(?:{'|'.join([EMAIL, IP, PHONE, SECRET, LONG_NUMBER, TOKEN])})"
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), text.alias("text")) \
         .where(F.col("text").rlike("[0-9]|@"))
-    df = df.withColumn("found", matches(F.col("text"), any_of)).withColumn(
-        "between", F.split("text", any_of, -1)).select(
-        "row_key", F.posexplode_outer("found").alias("i", "m"), "between").where("m IS NOT NULL")
+    df = located(df, {"found": (F.col("text"), any_of, F.lit(True))}).select(
+        "row_key", F.posexplode_outer("found").alias("i", "m"), F.col("found_between").alias("between")) \
+        .where("m IS NOT NULL")
     df = df.select("row_key", "m", F.expr("reverse(try_element_at(between, i + 1))").alias("left"),
                    F.expr("try_element_at(between, i + 2)").alias("right"))
     # anchored, on the reversed text: long gaps and words cost their length
@@ -207,7 +235,7 @@ def _holding(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> Da
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     words = F.array_union(F.split(text, r"\s++"), F.regexp_extract_all(
         text, F.lit(r"(?<!\S)[" + re.escape(OPENS) + "]++"), F.lit(0)))
-    some = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.explode(words).alias("l1")) \
+    some = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.explode_outer(words).alias("l1")) \
         .join(_slot_words(able), "l1", "left_semi").select("row_key").distinct()
     return _keyed(docs, id_col, text_col, some)
 
@@ -223,15 +251,13 @@ def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataF
     """Words that fill a slot of the patterns ``able``, in the columns of
     ``mentions`` with a null kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
-                     F.regexp_extract_all(text, F.lit(r"\S++"), F.lit(0)).alias("found"),
-                     F.split(text, r"\S++", -1).alias("between"))
-    df = df.select("row_key", placed(F.col("found"), F.col("between")).alias("w"))
+    df = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("row_key"), text.alias("text"))
+    df = located(df, {"w": (F.col("text"), r"\S++", F.lit(True))}).select("row_key", "w")
     w = F.col("w")
-    df = df.select("row_key", F.explode(F.transform(w, lambda x, i: F.struct(
+    df = df.select("row_key", F.explode_outer(F.transform(w, lambda x, i: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"),
         F.get(w, i - 2)["value"].alias("l2"), F.get(w, i - 1)["value"].alias("l1"),
-        F.get(w, i + 1)["value"].alias("r1")))).alias("x")).select("row_key", "x.*")
+        F.get(w, i + 1)["value"].alias("r1")))).alias("x")).where("x IS NOT NULL").select("row_key", "x.*")
 
     def trimmed(v, side, chars):
         fn = F.ltrim if side == "left" else F.rtrim
@@ -250,7 +276,7 @@ def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataF
     core = reading(F.col("start") + n_pre, F.col("start") + n_pre + F.length("core"), F.col("core"),
                    F.when(opened, F.col("l1")).otherwise(F.col("l2")), F.when(opened, pre).otherwise(F.col("l1")),
                    F.when(post != "", post).otherwise(F.col("r1")))
-    df = df.select("row_key", F.explode(F.when(F.col("core") == "", F.array(whole)).when(opened, F.array(core, whole))
+    df = df.select("row_key", F.explode_outer(F.when(F.col("core") == "", F.array(whole)).when(opened, F.array(core, whole))
                                         .otherwise(F.array(core))).alias("x")).select("row_key", "x.*")
     df = df.select("row_key", "start", "end", "value", *[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in names[3:]])
     # the word before the slot first: few words pass it
