@@ -77,6 +77,7 @@ SHARE = 0.25        # of a pattern's distinct values must be seeds
 LEAST = 0.8         # confidence that accepts a pattern
 SHIFT = 4
 BLOCK = 1 << SHIFT  # matches, and blocks, whose sizes are summed together
+SIEVE = 1 << 22     # bits that row keys are sieved by
 CELL = 64           # characters of a cell in which spans are compared
 OPENS = "<([{\"'"
 STOPS = ",.;:!?"     # these end a word, and closing brackets if one opens it
@@ -240,11 +241,26 @@ def _holding(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> Da
     return _keyed(docs, id_col, text_col, some)
 
 
+def _sieve(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose row_key is not in ``keys``: the
+    keys' hashes as SIEVE bits in words of 64, at most SIEVE / 64 rows to
+    broadcast however many keys. What it leaves is still to be joined."""
+    def place(c):
+        return F.pmod(F.xxhash64(F.lit(5), c), F.lit(SIEVE))
+    bits = keys.select(place(F.col("row_key")).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(_at & 63)))").alias("_bits"))
+    return df.withColumn("_at", place(F.col("row_key"))).withColumn("_word", F.shiftright("_at", 6)) \
+        .join(F.broadcast(bits), "_word").where(F.expr("shiftrightunsigned(_bits, int(_at & 63)) & 1 = 1")) \
+        .select(*df.columns)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
-    """(id, text) of the ``docs`` whose key is in ``keys`` (row_key)."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                       row_key(F.col(id_col), F.col(text_col)).alias("row_key")) \
-        .join(keys, "row_key", "left_semi").select("id", "text")
+    """(id, text) of the ``docs`` whose key is in ``keys`` (row_key); the
+    other texts are sieved out before the join, which may shuffle."""
+    keys = stage(keys)
+    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                     row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
+    return _sieve(df, keys).join(keys, "row_key", "left_semi").select("id", "text")
 
 
 def slots(docs: DataFrame, id_col: str, text_col: str, able: DataFrame) -> DataFrame:

@@ -150,3 +150,17 @@ def test_digest_of_nothing(odd_docs):
     got = contextual.extract(odd_docs.where("text IS NULL")).select(
         F.sha2(contextual.span_text(F.col("base")), 256).alias("h")).collect()
     assert {r.h for r in got} == {empty}
+
+
+def test_other_texts_are_sieved_before_the_join(spark):
+    """Few texts of those without a wanted key reach the join, none with one is lost."""
+    from clickgap.llm import contextual as C
+    df = spark.range(20_000).selectExpr("concat('k', id) AS row_key", "id")
+    keys = spark.range(0, 20_000, 40).selectExpr("concat('k', id) AS row_key")
+    left = {r["id"] for r in C._sieve(df, keys).collect()}
+    assert left >= set(range(0, 20_000, 40)) and len(left) < 600
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (3, None)], "doc_id long, text string")
+    want = docs.where("doc_id IS NULL OR doc_id <> 1").select(
+        C.row_key(docs["doc_id"], docs["text"]).alias("row_key")).distinct()
+    got = sorted((str(r["id"]), str(r["text"])) for r in C._keyed(docs, "doc_id", "text", want).collect())
+    assert got == [("2", "b"), ("2", "b"), ("3", "None"), ("None", "c")]
