@@ -51,7 +51,9 @@ def exclude_terms(df: DataFrame, cfg: Config) -> DataFrame:
     pats = R.term_patterns(cfg.exclusion_terms)
     if not pats:
         return df
-    return df.filter(~R.matches_any(F.col("query_norm"), pats))
+    # exploded, so that the filter reads the normalised text instead of making it a second time
+    once = df.select(*[F.explode(F.array(c)).alias(c) if c == "query_norm" else F.col(c) for c in df.columns])
+    return once.filter(~R.matches_any(F.col("query_norm"), pats))
 
 
 def exclusion_counts(parsed: DataFrame, cfg: Config) -> DataFrame:

@@ -709,11 +709,12 @@ def document_line_tfidf(spark, sf):
     """Per-segment TF-IDF over every document line taken as a query
     (normalisation of non-ASCII text, intents, segments, 1-3-grams)."""
     from clickgap.operators import cluster
+    from clickgap.operators.tfidf import gram_vectors
     q = enrich.preprocess_queries(X.document_lines(spark, sf), X.FIXTURE_CONFIG)
     texts = materialize(cluster.text_table(q.select("segment", "row_id", "query_norm")))
-    w, _ = cluster.segment_vectors(texts)
-    return (w.join(texts.select("segment", "rep", "query_norm"), ["segment", "rep"])
-             .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w")))
+    w = gram_vectors(texts, "rep", "query_norm", ["segment"], cluster.MAX_DF, "mult", carry=["query_norm"])
+    return w.where("rep IS NOT NULL").select("segment", "query_norm", F.inline("grams")) \
+            .select("segment", "query_norm", "term", "tf", "df", r6("w").alias("w"))
 
 
 @register("document_line_pairs", W(O.DOC_TFIDF_CTES + O.PAIRS_CTES, """
